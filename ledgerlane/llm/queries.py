@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlane.llm import packing, token_counts
+from ledgerlane.llm import packing, quality_rules, secrets, sharding, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op6_packing": packing.op6_packing,
+    "op9_sharding": sharding.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
