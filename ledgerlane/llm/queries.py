@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerlane.llm import packing, quality_rules, secrets, sharding, token_counts
+from ledgerlane.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_packing": packing.op6_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontamination.OP5_SQL}
