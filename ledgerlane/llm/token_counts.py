@@ -22,9 +22,9 @@ from ledgerlane.llm.runtime import arrow_map, bounded_rows
 from ledgerlane.llm.textkernel import Chunk, chunks
 from ledgerlane.llm.unitcache import SlotTable, unit_hashes, unit_starts
 
-#: Documents whose pre-tokens are counted to choose the frequent ones, and entries of the broadcast table. Both only
-#: decide how much is found in tier one; counts are the same with any values.
-SAMPLE_ROWS, FREQUENT = 2000, 1 << 15
+#: Rows of each input partition whose pre-tokens are counted to choose the frequent ones, candidates that a partition
+#: names, and entries of the broadcast table. They only decide how much is found in tier one; counts are the same with any values.
+SAMPLE_ROWS, CANDIDATES, FREQUENT = 64, 2048, 1 << 15
 #: log2 of the slots of a worker's cache. It is emptied when three quarters full.
 CACHE_BITS = 21
 
@@ -87,7 +87,7 @@ def _sample_counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     totals[k][0] += m
                 else:
                     totals[k] = [m, raw[start[i] : end[i]], bool(is_first[i])]
-    top = sorted(totals.items(), key=lambda x: (-x[1][0], x[0]))[:FREQUENT]
+    top = sorted(totals.items(), key=lambda x: (-x[1][0], x[0]))[:CANDIDATES]
     yield pa.RecordBatch.from_arrays(
         [pa.array([np.uint64(k).astype(np.int64) for k, _ in top], pa.int64()), pa.array([v[0] for _, v in top], pa.int64()), pa.array([v[1] for _, v in top], pa.binary()), pa.array([v[2] for _, v in top], pa.bool_())],
         ["hash", "n", "unit", "is_first"],
@@ -95,8 +95,9 @@ def _sample_counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_lengths(df: DataFrame, text: str, model_path: str, entries: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the commonest pre-tokens of the first ``sample_rows`` documents: at most ``entries`` of either."""
-    counted = arrow_map(df.select(text).limit(sample_rows), _sample_counter, "hash long, n long, unit binary, is_first boolean")
+    """Hashes and token counts of the commonest pre-tokens of the first ``sample_rows`` rows of each partition: at most ``entries`` of either."""
+    head = df.select(text).filter(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) < sample_rows)
+    counted = arrow_map(head, _sample_counter, "hash long, n long, unit binary, is_first boolean")
     top = counted.groupBy("hash").agg(F.sum("n").alias("n"), F.first("unit").alias("unit"), F.first("is_first").alias("is_first")).orderBy(F.desc("n"), "hash").limit(entries)
     rows = bounded_rows(top, entries, "frequent pre-tokens")
     hashes = np.array([r["hash"] for r in rows], np.int64).astype(np.uint64)
