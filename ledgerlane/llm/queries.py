@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlane.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
+from ledgerlane.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_packing": packing.op6_packing,
+    "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
