@@ -107,7 +107,7 @@ def number_set(x: Column) -> Column:
 
 def lenient_row(cells: Column) -> Column:
     """Cells without empty ones, "-" and "N/A"; currency signs go, text ends at a parenthesis, what isn't a number is skipped."""
-    kept = F.filter(F.transform(cells, F.trim), lambda c: ~c.isin("", "-", "N/A"))
+    kept = F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: ~c.isin("", "-", "N/A"))
     return F.filter(F.transform(kept, lambda c: lenient_operand(F.trim(F.substring_index(F.translate(c, "$€₫", ""), "(", 1)))), lambda v: v.isNotNull())
 
 
