@@ -11,6 +11,7 @@ conventions. The strings are counted where they are; the table of transitions ha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KEY_CHARS = r"[A-Za-z0-9+/_=-]"
 TOKEN_LEAST, THRESHOLD = 20, 0.35
 TOKEN = rf"(?<!{KEY_CHARS}){KEY_CHARS}{{{TOKEN_LEAST},}}"
-SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 16, 12, 1000
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 64, 24, 4000
+#: Added to every count, so that unseen transitions aren't impossible.
+SMOOTHING = 0.2
 KINDS = ("assign", "access", "hex", "markov")
 PIECE = 512
 
@@ -50,18 +53,16 @@ def training_sample(spark: SparkSession, docs: DataFrame, text: str) -> DataFram
 
 
 def transition_table(sample: DataFrame) -> list[float]:
-    """log P(b | a, random) - log P(b | a, identifier) for each a, b of the alphabet, add-one smoothed, in row order."""
+    """log P(b | a, random) - log P(b | a, identifier) for each a, b of the alphabet, smoothed, in row order."""
     k = len(ALPHABET)
     at = lambda x, i: F.instr(F.lit(ALPHABET), F.substring(x, i, F.lit(1))) - 1
     pairs = sample.filter(F.length("s") > 1).select("random", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"), "s").select("random", at(F.col("s"), F.col("i")).alias("a"), at(F.col("s"), F.col("i") + 1).alias("b"))
     rows = bounded_rows(pairs.filter("a >= 0 and b >= 0").groupBy("random", "a", "b").count(), 2 * k * k, "transitions")
     n = {(r["random"], r["a"], r["b"]): r["count"] for r in rows}
-    import math
-
     out = []
     for a in range(k):
-        total = {c: sum(n.get((c, a, b), 0) for b in range(k)) + k for c in (True, False)}
-        out += [math.log((n.get((True, a, b), 0) + 1) / total[True]) - math.log((n.get((False, a, b), 0) + 1) / total[False]) for b in range(k)]
+        total = {c: sum(n.get((c, a, b), 0) for b in range(k)) + SMOOTHING * k for c in (True, False)}
+        out += [math.log((n.get((True, a, b), 0) + SMOOTHING) / total[True]) - math.log((n.get((False, a, b), 0) + SMOOTHING) / total[False]) for b in range(k)]
     return out
 
 
