@@ -143,3 +143,52 @@ def table_lines(x: Column) -> Column:
 def table_blocks(x: Column) -> Column:
     """V9: number of runs of table lines."""
     return let(F.transform(F.split(x, "\n"), lambda s: s.rlike(TABLE_LINE)), lambda f: F.size(F.filter(F.transform(f, lambda v, i: v & ~F.coalesce(F.get(f, i - 1), F.lit(False))), lambda v: v)))
+
+
+def normalize_markers(x: Column, keyword: str) -> Column:
+    """After the last keyword, bold marks without stray spaces and at most one blank line; the text before it stays."""
+    tail = F.substring_index(x, keyword, -1)
+    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, r"\*\*\s*([^*\n]+?)\s*\*\*", "**$1**"), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    head = x.substr(F.lit(1), F.length(x) - F.length(tail))
+    return F.when(F.contains(x, F.lit(keyword)), F.concat(head, fixed)).otherwise(x)
+
+
+def transliterate(x: Column) -> Column:
+    """P20: umlauts as two letters, digits and commas gone, spaces collapsed: a label of a German statement."""
+    out = x
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "[0-9,]", ""), " +", " "))
+
+
+def german_number(x: Column) -> Column:
+    """P20: points group thousands and the comma is the decimal sign."""
+    return F.replace(F.replace(F.trim(x), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def report_title(x: Column) -> tuple[Column, Column]:
+    """Company (lower case) and year of a report's title."""
+    pattern = r"Geschäftsbericht (.+?) (\d{4})"
+    return F.lower(F.regexp_extract(x, pattern, 1)), F.regexp_extract(x, pattern, 2).try_cast("int")
+
+
+def token_indices(tokens: Column, vocabulary: list[str], numbers: Column) -> Column:
+    """Places of program tokens in the vocabulary, then in the numbers of the context (after it); -1 for neither. A number may be written differently."""
+    vocab = F.array(*map(F.lit, vocabulary))
+    same = lambda t: F.get(F.filter(F.transform(numbers, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda s: F.coalesce((s["n"] == t) | (s["n"].try_cast("double") == t.try_cast("double")), F.lit(False))), F.lit(0))["i"]
+    return F.transform(tokens, lambda t: F.when(F.array_contains(vocab, t), F.array_position(vocab, t).cast("int") - 1).otherwise(F.coalesce(same(t) + len(vocabulary), F.lit(-1))))
+
+
+def label_mask(ids: Column, prompt: Column, ignore: int = -100, tail: int = 32) -> Column:
+    """Ids with those of the prompt ignored; if nothing is left, the last ``tail`` ids are labels."""
+    return F.transform(ids, lambda x, i: F.when((i < prompt) & ~((F.size(ids) <= prompt) & (i >= F.size(ids) - tail)), F.lit(ignore)).otherwise(x))
+
+
+def pad(ids: Column, length: Column, value: int) -> Column:
+    """Filled up at the end."""
+    return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0))))
+
+
+def first_paragraphs(x: Column, n: int = 512) -> Column:
+    """The first n characters."""
+    return F.substring(x, 1, n)

@@ -141,3 +141,36 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
                 yield F.col(p).alias(n)
 
     return df.select(*fields(df.schema, "", ""))
+
+
+def unique_ids(df: DataFrame, order: list[str], start: int = 1_000_000_000) -> DataFrame:
+    """Adds ``unique_id``, numbered from ``start`` in order. Offsets of range partitions are joined in, so that no task numbers the whole table."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    base = placed.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b")
+    numbered = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return numbered.join(F.broadcast(base), "_p").withColumn("unique_id", F.col("_b") + F.col("_k") - 1 + start).drop("_p", "_b", "_k")
+
+
+def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ends as places in their document's node list; edges with an unknown end are left out instead of pointing at the first node."""
+    place = nodes.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_idx", "col_idx")) - 1).select("doc_id", "node_id", "i")
+    end = lambda name: place.select("doc_id", F.col("node_id").alias(name), F.col("i").alias(f"{name}_index"))
+    return edges.join(end("src"), ["doc_id", "src"]).join(end("tgt"), ["doc_id", "tgt"])
+
+
+def split_retrieved(scored: DataFrame, gold: DataFrame, topn: int) -> DataFrame:
+    """The first ``topn`` items of each query as lists of table and of text items, with the recall of its gold items (null without any)."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ind")
+    top = scored.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= topn).join(gold.select("query_id", "ind", F.lit(1).alias("hit")), ["query_id", "ind"], "left")
+    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("ind").startswith(kind), F.struct("k", "ind", "score")))), lambda x: F.struct(x["ind"].alias("ind"), x["score"].alias("score")))
+    lists = top.groupBy("query_id").agg(pick("table").alias("table_retrieved"), pick("text").alias("text_retrieved"), F.count("hit").alias("_h"))
+    return lists.join(gold.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id", "left").withColumn("recall", F.try_divide("_h", "_n")).drop("_h", "_n")
+
+
+def context(df: DataFrame, mode: str) -> DataFrame:
+    """The context of a generator: ``gold`` facts, the ``slide`` window, all retrieved evidence (``single``), or ``none``; runs of dots and stars go."""
+    columns = {"gold": "gold_facts", "slide": "window", "single": "retrieved"}
+    if mode not in (*columns, "none"):
+        raise ValueError(f"unknown context: {mode}")
+    raw = F.lit("") if mode == "none" else F.array_join(F.col(columns[mode]), " ")
+    return df.withColumn("context", F.trim(F.replace(F.replace(raw, F.lit(". . . . . ."), F.lit("")), F.lit("* * * * * *"), F.lit(""))))

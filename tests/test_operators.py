@@ -111,9 +111,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "train.json").write_text(json.dumps([sample]))
     (tmp_path / "rows.jsonl").write_text('{"id": "1"}\nbroken\n{"id": "2"}\n')
     (tmp_path / "lines.txt").write_text(" a \n\nb\n")
-    reg = S.Registry([S.Corpus("fin_qa", ("fq",), "program", (("train", str(tmp_path / "train.json")), ("test", str(tmp_path / "no.json"))), ("train",))])
-    got = reg.read(spark, "FQ", "train").first()
-    assert got["benchmark"] == "fin_qa" and got["qa"]["exe_ans"] == "true" and got["pre_text"] is None
+    reg = S.Registry([S.Corpus("ledger_qa", ("lq",), "program", (("train", str(tmp_path / "train.json")), ("test", str(tmp_path / "no.json"))), ("train",))])
+    got = reg.read(spark, "LQ", "train").first()
+    assert got["benchmark"] == "ledger_qa" and got["qa"]["exe_ans"] == "true" and got["pre_text"] is None
     assert {r["split"]: r["available"] for r in reg.status(spark).collect()} == {"train": True, "test": False} and reg.enabled("suite") == []
     assert S.read_json_lines(spark, str(tmp_path / "rows.jsonl"), "id string").count() == 2
     assert [r[0] for r in S.read_lines(spark, str(tmp_path / "lines.txt")).collect()] == ["a", "b"]
@@ -141,3 +141,30 @@ def test_incremental_evaluation(spark, tmp_path):
 def test_windowed_counts(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert I.windowed_counts(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_remaining_text(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    strings = lambda *x: F.array(*map(F.lit, x))
+    assert one(X.transliterate(F.lit("Umsatzerlöse 2, groß"))) == "Umsatzerloese gross" and one(X.german_number(F.lit("1.234,5"))) == 1234.5
+    assert [one(c) for c in X.report_title(F.lit("Geschäftsbericht Alpha AG 2021"))] == ["alpha ag", 2021]
+    assert one(X.token_indices(strings("add(", "5", "7.0", "x"), ["EOF", "add("], strings("7", "5"))) == [1, 3, 2, -1]
+    ids = F.array(*map(F.lit, (1, 2, 3)))
+    assert one(X.label_mask(ids, F.lit(2))) == [-100, -100, 3] and one(X.label_mask(ids, F.lit(5), tail=1)) == [-100, -100, 3]
+    assert one(X.pad(ids, F.lit(5), 0)) == [1, 2, 3, 0, 0] and one(X.first_paragraphs(F.lit("abc"), 2)) == "ab"
+    assert one(X.normalize_markers(F.lit("** a ** KEY ** b **\n\n\n\nc"), "KEY")) == "** a ** KEY **b**\n\nc"
+
+
+def test_remaining_preparation(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(50)], "k int, t string")
+    got = Q.unique_ids(df, ["k"]).orderBy("k").collect()
+    assert [r["unique_id"] for r in got] == list(range(1_000_000_000, 1_000_000_050))
+    nodes = spark.createDataFrame([(1, "v_0_0", 0, 0), (1, "v_0_1", 0, 1)], "doc_id int, node_id string, row_idx int, col_idx int")
+    edges = spark.createDataFrame([(1, "v_0_1", "v_0_0"), (1, "v_9_9", "v_0_0")], "doc_id int, src string, tgt string")
+    assert [(r["src_index"], r["tgt_index"]) for r in Q.indexed_edges(edges, nodes).collect()] == [(1, 0)]
+    scored = spark.createDataFrame([("q", "table_1", 0.9), ("q", "text_2", 0.8), ("q", "text_3", 0.1)], "query_id string, ind string, score double")
+    gold = spark.createDataFrame([("q", "text_2"), ("q", "text_3")], "query_id string, ind string")
+    r = Q.split_retrieved(scored, gold, 2).first()
+    assert ([x["ind"] for x in r["table_retrieved"]], [x["ind"] for x in r["text_retrieved"]], r["recall"]) == (["table_1"], ["text_2"], 0.5)
+    c = spark.createDataFrame([(["a . . . . . . b"], ["w"], ["r", "s"])], "gold_facts array<string>, window array<string>, retrieved array<string>")
+    assert [Q.context(c, m).first()["context"] for m in ("gold", "slide", "single", "none")] == ["a  b", "w", "r s", ""]
