@@ -41,21 +41,24 @@ def list_match(predicted: Column, gold: Column) -> Column:
 
 def answers_match(predicted: Column, gold: Column, gold_list: Column | None = None) -> Column:
     """M4: lists in any order, yes and no exactly, numbers with tolerance, else equal texts. Empty ones match nothing."""
-    sides = F.struct(F.lower(F.trim(predicted)).alias("p"), F.lower(F.trim(gold)).alias("g"))
     numbers = lambda s: F.struct(answer_number(s["p"]).alias("a"), answer_number(s["g"]).alias("b"))
     alike = lambda s, n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), close(n["a"], n["b"])).otherwise(s["p"] == s["g"])
-    scalar = let(sides, lambda s: F.when(s["g"].isin("yes", "no"), s["p"] == s["g"]).otherwise(let(numbers(s), lambda n: alike(s, n))))
-    if gold_list is not None:
-        scalar = F.when(gold_list.isNotNull(), list_match(predicted, gold_list)).otherwise(scalar)
-    empty = (F.coalesce(predicted, F.lit("")) == "") | (F.coalesce(gold, F.lit("")) == "")
-    return F.when(empty, False).otherwise(F.coalesce(scalar, F.lit(False)))
+    scalar = lambda s: F.when(s["g"].isin("yes", "no"), s["p"] == s["g"]).otherwise(let(numbers(s), lambda n: alike(s, n)))
+
+    def judge(raw: Column) -> Column:
+        out = let(F.struct(F.lower(F.trim(raw["p"])).alias("p"), F.lower(F.trim(raw["g"])).alias("g")), scalar)
+        if gold_list is not None:
+            out = F.when(gold_list.isNotNull(), list_match(raw["p"], gold_list)).otherwise(out)
+        return F.when((raw["p"] != "") & (raw["g"] != ""), F.coalesce(out, F.lit(False))).otherwise(False)
+
+    return let(F.struct(predicted.alias("p"), gold.alias("g")), judge)
 
 
 def strict_answers_match(predicted: Column, gold: Column) -> Column:
     """M5: only plain floats count as numbers."""
-    numbers = F.struct(to_float(predicted).alias("p"), to_float(gold).alias("g"))
-    alike = let(numbers, lambda n: F.when(n["p"].isNotNull() & n["g"].isNotNull(), close(n["p"], n["g"])).otherwise(F.trim(predicted) == F.trim(gold)))
-    return F.coalesce(alike, F.lit(False))
+    numbers = lambda s: F.struct(to_float(s["p"]).alias("p"), to_float(s["g"]).alias("g"))
+    alike = lambda s: let(numbers(s), lambda n: F.when(n["p"].isNotNull() & n["g"].isNotNull(), close(n["p"], n["g"])).otherwise(F.trim(s["p"]) == F.trim(s["g"])))
+    return F.coalesce(let(F.struct(predicted.alias("p"), gold.alias("g")), alike), F.lit(False))
 
 
 def steps_match(predicted: Column, gold: Column) -> Column:
