@@ -156,7 +156,7 @@ def row_sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which of the keys occur twice or more."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     same = s[1:] == s[:-1]
     out = np.zeros(len(keys), bool)
@@ -167,7 +167,9 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def distinct_per_row(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct hashes in ascending order: rows and hashes, sorted by both."""
-    order = np.lexsort((h, row))
+    order = np.argsort(h)  # vectorised, as a stable sort by two keys isn't
+    small = row[order].astype(np.uint16 if len(row) and row.max() < 1 << 16 else np.int64)
+    order = order[np.argsort(small, kind="stable")]  # a radix sort for 16 bits
     h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
