@@ -245,7 +245,23 @@ class Tree:
 
 
 def join_group(sets: list[np.ndarray], labels: np.ndarray, rule: Rule) -> np.ndarray:
-    """The smallest label in the component of each set, by the links among them. Sets with one label are one from the start."""
+    """The smallest label in the component of each set, by the links among them. Sets with one label are one from the start.
+
+    Sets link only with sets of like size, so the group falls apart wherever the ordered sizes have too wide a gap.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    gaps = np.flatnonzero(size[order][:-1] * rule.den < rule.num * size[order][1:]) + 1
+    if not len(gaps) or len(np.unique(labels)) < len(labels):
+        return _join_alike(sets, labels, rule)
+    out = labels.copy()
+    for part in np.split(order, gaps):
+        if len(part) > 1:
+            out[part] = _join_alike([sets[i] for i in part.tolist()], labels[part], rule)
+    return out
+
+
+def _join_alike(sets: list[np.ndarray], labels: np.ndarray, rule: Rule) -> np.ndarray:
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     top = len(values)
     sets = np.split(flat.astype(np.int64), np.cumsum([len(s) for s in sets])[:-1])
