@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch. Texts can be long, so batches are kept far below Spark's 10,000 rows.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch. Texts can be long, so batches are kept far below Spark's 10,000 rows and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of few rows."""
+    """``mapInArrow`` with small batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
