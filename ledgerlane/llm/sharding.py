@@ -7,12 +7,17 @@ shuffled sequence goes to shard ``p % shards``, place ``p // shards``, so shard
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlane.llm.runtime import shared_dir
+
 BUCKET_BYTES = 32 << 20
 
 
@@ -43,22 +48,35 @@ def external_shuffle(df: DataFrame, shards: int, size: str, keys: list[str], see
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = df.columns
 
-    def shuffle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys, kind="stable")
-        pdf = pdf.iloc[fisher_yates(len(pdf), int(key[0]) * 1_000_003 + seed)]
-        at = int(pdf["_base"].iloc[0]) + np.arange(len(pdf))
-        return pdf[names].assign(shard=(at % shards).astype(np.int32), slot=at // shards)
+    def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
+        # one gather of the records: the order by keys and the permutation are put together first
+        order = pc.sort_indices(bucket, sort_keys=[(k, "ascending") for k in keys]).to_numpy()[fisher_yates(len(bucket), key[0].as_py() * 1_000_003 + seed)]
+        at = bucket.column("_base")[0].as_py() + np.arange(len(bucket))
+        return bucket.select(names).take(pa.array(order)).append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
 
-    return scattered.join(base, "_bucket").groupBy("_bucket").applyInPandas(shuffle, schema)
+    # a row a bucket is broadcast, so that the records themselves move once
+    return scattered.join(F.broadcast(base), "_bucket").groupBy("_bucket").applyInArrow(shuffle, schema)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Writes one folder a shard, its records in the order of their slots."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes one folder a shard, its records in the order of their slots, compressed with zstd."""
+    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
+def shard_documents(docs: DataFrame, path: str, shards: int) -> DataFrame:
+    """Shuffles whole documents into shards below ``path``, and returns the written records with their shard and slot.
+
+    A record weighs its text's bytes and 16 more. All columns tell rows apart.
+    """
+    docs = docs.drop("shard", "slot")
+    weighed = docs.withColumn("size", (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("bigint"))
+    placed = external_shuffle(weighed, shards, "size", docs.columns).drop("size")
+    write_shards(placed, path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", 40)
     utf8 = F.coalesce("text", F.lit("")).cast("binary")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length(utf8) + 16).cast("bigint").alias("size"), F.crc32(utf8).alias("text_crc32"))
-    out = external_shuffle(rows, 40, "size", ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(utf8) + 16).cast("bigint").alias("size")
+    return written.select("doc_id", size, F.crc32(utf8).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -331,6 +331,17 @@ def test_op9(spark, corpus, sf, docs, empty, tmp_path):
     assert sorted(sharding.fisher_yates(100, 1)) == list(range(100))
 
 
+def test_op9_writes_whole_documents(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "shared_dir", lambda _: str(tmp_path))
+    out = {(r["doc_id"], r["shard"], r["slot"]) for r in queries.QUERIES["op9_sharding"](spark, sf).collect()}
+    (path,) = tmp_path.iterdir()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    written = spark.read.parquet(str(path))
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in written.collect()} == out
+    assert sorted(map(repr, written.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    assert len(list(path.glob("shard=*"))) == 40
+
+
 def test_op10(spark, corpus, sf, docs, empty):
     import sentencepiece
 
