@@ -5,6 +5,10 @@ sentences get an identifier. The sequence of a document's identifiers is then ma
 a run of identifiers, takes what it matches out of the sequence, and names a licence. What no rule takes stays as
 unmatched. All steps are DataFrame functions, and sentences are cut only in texts that hold one of the marker words, of
 which every known sentence has one.
+
+A notice can be wrapped and commented, so patterns see normalised sentences only. Before the cut a version clause is
+joined to its grant ("Foundation; either version 2"), and an SPDX expression becomes a sentence of its own; each of its
+operands gets an identifier. ``OP4_SQL`` has neither step, nor the sentences and rules added for them.
 """
 
 from __future__ import annotations
@@ -93,10 +97,67 @@ RULES = [
     ("AllRights", "All-rights-reserved"),
 ]
 
+# SPDX identifiers in lower case (a pattern of the whole) and the licence each stands for.
+SPDX = [
+    ("SpdxApache", r"apache-2\.0", "Apache-2.0"),
+    ("SpdxMit", r"mit", "MIT"),
+    ("SpdxIsc", r"isc", "ISC"),
+    ("SpdxBsdThree", r"bsd-3-clause", "BSD-3-Clause"),
+    ("SpdxBsdTwo", r"bsd-2-clause", "BSD-2-Clause"),
+    ("SpdxLesserGpl", r"lgpl-[0-9.]+(-only|-or-later|\+)?", "LGPL"),
+    ("SpdxAfferoGpl", r"agpl-[0-9.]+(-only|-or-later|\+)?", "AGPL"),
+    ("SpdxGplLater", r"gpl-2\.0(-or-later|\+)", "GPL-2.0-or-later"),
+    ("SpdxGplThree", r"gpl-3\.0(-only|-or-later|\+)?", "GPL-3.0"),
+    ("SpdxGplTwo", r"gpl-2\.0(-only)?", "GPL-2.0"),
+    ("SpdxMozilla", r"mpl-2\.0", "MPL-2.0"),
+    ("SpdxBoost", r"bsl-1\.0", "BSL-1.0"),
+    ("SpdxUnlicense", r"unlicense", "Unlicense"),
+    ("SpdxCcZero", r"cc0-1\.0", "CC0-1.0"),
+    ("SpdxCcByNcSa", r"cc-by-nc-sa-[0-9.]+", "CC-BY-NC-SA"),
+    ("SpdxCcByNcNd", r"cc-by-nc-nd-[0-9.]+", "CC-BY-NC-ND"),
+    ("SpdxCcByNc", r"cc-by-nc-[0-9.]+", "CC-BY-NC"),
+    ("SpdxCcBySa", r"cc-by-sa-[0-9.]+", "CC-BY-SA"),
+    ("SpdxCcBy", r"cc-by-[0-9.]+", "CC-BY"),
+]
+
+# Rules of whole notices, and of grants that SENTENCES lacks. Each stands before the other rules of its licence.
+NOTICES = [
+    ("LesserGplGrant GplWarranty LesserGpl LesserGpl", "LGPL"),
+    ("AfferoGpl GplWarranty AfferoGpl AfferoGpl", "AGPL"),
+    ("GplGrantLater GplWarranty GplBare GplReceived", "GPL-2.0-or-later"),
+    ("GplGrantThree GplWarranty GplBare GplReceived", "GPL-3.0"),
+    ("GplGrantTwo GplWarranty GplBare GplReceived", "GPL-2.0"),
+    ("GplGrantTwo GplWarranty GplReceived", "GPL-2.0"),
+    ("GplGrantTwo", "GPL-2.0"),
+]
+
+GRANT_TWO = ("GplGrantTwo", r"terms of the gnu general public license as published by the free software foundation .*version 2( |$)")
+TAG = "spdx-license-identifier"
+SPDX_ID = r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
+EXPRESSION = rf"{TAG}[ \t]*:[ \t]*([( \t]*{SPDX_ID}(?:[ \t)]+(?:or|and|with)[ \t(]+{SPDX_ID})*)"
+VERSION_CLAUSE = r";([^a-z0-9.!?:;]+(?:either[^a-z0-9]+)?version[^a-z0-9]+[0-9])"
+
 BREAK = r"[.!?;:]+[ \t\n\r]+|\n[ \t\r]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def scan_sentences() -> list[tuple[str, str]]:
+    """SENTENCES and the grants added to them."""
+    at = [name for name, _ in SENTENCES].index("GplGrantThree") + 1
+    return [*SENTENCES[:at], GRANT_TWO, *SENTENCES[at:]]
+
+
+def scan_rules() -> list[tuple[str, str]]:
+    """RULES with those of NOTICES and SPDX, each before the first rule of the same licence."""
+    out, seen = [], set()
+    for rule, licence in RULES:
+        if licence not in seen:
+            seen.add(licence)
+            out += [(r, n) for r, n in NOTICES if n == licence] + [(name, n) for name, _, n in SPDX if n == licence]
+        out.append((rule, licence))
+    return out
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``sentence_ids`` (identifiers in order, space-joined), ``licenses`` (in the order of the rules, each once, comma-joined) and ``unmatched``.
 
@@ -110,17 +171,30 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     def identifier(s):
         out = F.lit(None).cast("string")
-        for name, pattern in reversed(SENTENCES):
+        for name, pattern in reversed(scan_sentences()):
             out = F.when(F.rlike(s, F.lit(pattern)), F.lit(name)).otherwise(out)
         return out
 
+    def spdx_identifier(operand):
+        value, out = F.regexp_extract(operand, SPDX_ID, 0), F.lit("SpdxTag")
+        for name, pattern, _ in reversed(SPDX):
+            out = F.when(F.rlike(value, F.lit(f"^(?:{pattern})$")), F.lit(name)).otherwise(out)
+        return out
+
     def normal(s):
         return F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"\.( |$)", " ")
 
-    has_marker = lambda s: F.rlike(s, F.lit("|".join(MARKERS).replace("cc by", "cc.by")))
-    sentences = F.transform(F.filter(F.split(low, BREAK), has_marker), lambda s: identifier(normal(s)))
+    def identifiers(s):
+        operands = F.split(F.substring(s, len(TAG) + 2, F.length(s)), r"[ \t)]+(?:or|and)[ \t(]+")
+        return F.when(F.startswith(s, F.lit(f"{TAG} ")), F.transform(operands, spdx_identifier)).otherwise(F.array(identifier(normal(s))))
+
+    # a marker's first word stands unbroken in any text whose normalised form has the marker
+    may_hold = lambda s: F.rlike(s, F.lit("|".join(sorted({m.split(" ")[0] for m in MARKERS}))))
+    joined = F.regexp_replace(low, VERSION_CLAUSE, ",$1")
+    joined = F.when(F.contains(low, F.lit(TAG)), F.regexp_replace(joined, EXPRESSION, f". {TAG} $1. ")).otherwise(joined)
+    sentences = F.flatten(F.transform(F.filter(F.split(joined, BREAK), may_hold), identifiers))
     ids = F.when(marked, F.array_join(F.filter(sentences, lambda s: s.isNotNull()), " ")).otherwise("")
-    rules = F.array(*(F.struct(F.lit(f" {r} ").alias("r"), F.lit(n).alias("n")) for r, n in RULES))
+    rules = F.array(*(F.struct(F.lit(f" {r} ").alias("r"), F.lit(n).alias("n")) for r, n in scan_rules()))
 
     def step(acc, rule):
         hit = F.contains(acc["rest"], rule["r"])

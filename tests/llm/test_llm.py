@@ -173,6 +173,44 @@ def test_op4_rules(spark, docs, empty):
     assert licenses.scan(docs).filter("licenses <> ''").count() == 0 and licenses.scan(empty).count() == 0
 
 
+GPL_NOTICE = """This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU {0}General Public License as published by
+ * the Free Software Foundation; {1}
+
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {0}General Public License for more details.
+
+ * You should have received a copy of the GNU {0}General Public License along
+ * with this program; if not, write to the Free Software Foundation, Inc."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 3. Neither the
+ *    name of the holder nor the names of its contributors may be used to endorse
+ *    or promote products derived from this software.
+ * THIS SOFTWARE IS PROVIDED BY THE HOLDERS "AS IS" AND
+ * ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+def test_op4_standard_notices(spark):
+    later, three = "either version 2 of the License, or\n * (at your option) any later version.", "either\n * version 3 of the License, or (at your option) any later version."
+    cases = [
+        (GPL_NOTICE.format("", later), "GPL-2.0-or-later", ""), (GPL_NOTICE.format("", three), "GPL-3.0", ""), (GPL_NOTICE.format("", "version 2 of the License."), "GPL-2.0", ""),
+        (GPL_NOTICE.format("Lesser ", later), "LGPL", ""), (GPL_NOTICE.format("Affero ", three), "AGPL", ""), (BSD_NOTICE, "BSD-3-Clause", ""),
+        ("All rights\nreserved", "All-rights-reserved", ""), ("It is in the public\ndomain.", "Public-domain", ""),
+        ("// SPDX-License-Identifier: MIT\n// Copyright A\n// All rights reserved.", "MIT,All-rights-reserved", ""), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later", ""),
+        ("All rights reserved\nSPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0) AND MIT.", "Apache-2.0,MIT,GPL-2.0-or-later,All-rights-reserved", ""),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0", ""), ("SPDX-License-Identifier: MIT-0", "", "SpdxTag"), ("SPDX-License-Identifier:", "", "SpdxTag"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
+    assert [(r["licenses"], r["unmatched"]) for r in got] == [c[1:] for c in cases]
+
+
 def test_op5_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(300)]
