@@ -4,9 +4,11 @@ Three base patterns find assignments, access keys and hexadecimal runs. A fourth
 run of key-like characters with two first-order character Markov models, one of random strings and one of ordinary
 identifiers, and keeps those whose mean log-likelihood ratio per transition reaches a threshold.
 
-Both models are trained from labelled samples: random strings made from digests in several alphabets, and identifiers
-made from the first ``SAMPLE_WORDS`` words of ``SAMPLE_ROWS`` documents of each partition, joined by the usual
-conventions. The strings are counted where they are; the table of transitions has ``len(ALPHABET) ** 2`` entries whatever the corpus.
+The models are counted from random strings, made from digests in several alphabets, and from the identifiers that the
+words of each document make when they are joined by the usual conventions. Every word of every document counts, so neither
+the order nor the layout of the table matters. Tasks count trigrams of letters and spaces, of which there are at most
+``53 ** 3``; the transitions of all conventions follow from them, a table of
+``len(ALPHABET) ** 2`` entries.
 """
 
 from __future__ import annotations
@@ -29,36 +31,59 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KEY_CHARS = r"[A-Za-z0-9+/_=-]"
 TOKEN_LEAST, THRESHOLD = 20, 0.35
 TOKEN = rf"(?<!{KEY_CHARS}){KEY_CHARS}{{{TOKEN_LEAST},}}"
-SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 64, 24, 4000
+SAMPLE_STRINGS = 4000
 #: Added to every count, so that unseen transitions aren't impossible.
 SMOOTHING = 0.2
 KINDS = ("assign", "access", "hex", "markov")
 PIECE = 512
+#: Words of a text that are counted at a time.
+BLOCK_WORDS = 256
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def identifier_transitions(docs: DataFrame, text: str) -> DataFrame:
+    """(a, b, n): how often character b follows a in the identifiers made of the words of each document of four words or more.
+
+    Words are runs between white space, of which the ASCII letters count, two at least. The conventions are the joins by
+    "_", by "-", by "1" and by nothing, capitalised words, and upper case joined by "_".
+    """
+    w = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z\s]+", ""), r"\s+"), lambda x: F.length(x) > 1)
+    words = docs.select(w.alias("w")).filter(F.size("w") > 3)
+
+    def block(i: Column) -> Column:
+        # a block ends with the first letter of the next one, for the transition between the two
+        more = F.when(F.size("w") >= i + BLOCK_WORDS, F.concat(F.lit(" "), F.substring(F.get("w", i + BLOCK_WORDS - 1), 1, 1))).otherwise("")
+        return F.concat(F.lit(" "), F.array_join(F.slice("w", i, BLOCK_WORDS), " "), more)
+
+    blocks = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(BLOCK_WORDS)), block)).alias("s"))
+    grams = blocks.select(F.explode(F.regexp_extract_all("s", F.lit("(?=([A-Za-z ][A-Za-z][A-Za-z]|[A-Za-z] [A-Za-z]))"), F.lit(1))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    p, m, z = (F.substring("g", i, 1) for i in (1, 2, 3))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    through = lambda a, sep, b: [pair(a, F.lit(sep)), pair(F.lit(sep), b)]
+    # between words: "_", "-", "1", nothing, capitalised, upper case; inside them four conventions have the letters as they are
+    between = F.array(*through(p, "_", z), *through(p, "-", z), *through(p, "1", z), pair(p, z), pair(F.lower(p), F.upper(z)), *through(F.upper(p), "_", F.upper(z)))
+    inside = F.array(*[pair(m, z)] * 4, pair(F.when(p == " ", F.upper(m)).otherwise(F.lower(m)), F.lower(z)), pair(F.upper(m), F.upper(z)))
+    return grams.select("n", F.explode(F.when(m == " ", between).otherwise(inside)).alias("t")).groupBy("t.a", "t.b").agg(F.sum("n").alias("n"))
+
+
 def training_sample(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
-    """Labelled strings: (s, random)."""
+    """Labelled transitions: (random, a, b, n), those of random strings and those of all identifiers of the documents."""
     n = F.col("id").cast("string")
     digest = F.unhex(F.sha2(n, 256))
     made = [F.sha1(n), F.md5(n), F.base64(digest), F.translate(F.base64(digest), "+/=", "-_"), F.upper(F.conv(F.substring(F.sha1(n), 1, 12), 16, 36)), F.translate(F.base64(F.unhex(F.md5(n))), "+/=", "")]
-    rand = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(*made)).alias("s")).select("s", F.lit(True).alias("random"))
-    w = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z\s]+", ""), r"\s+"), lambda x: F.length(x) > 1)
-    some = docs.filter(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) < SAMPLE_ROWS).select(F.slice(w, 1, SAMPLE_WORDS).alias("w")).filter(F.size("w") > 3)
-    joins = [F.array_join("w", sep) for sep in ("_", "-", "")]
-    camel = F.array_join(F.transform("w", F.initcap), "")
-    plain = some.select(F.explode(F.array(*joins, camel, F.upper(joins[0]), F.array_join("w", "1"))).alias("s")).select("s", F.lit(False).alias("random"))
-    return rand.unionByName(plain)
+    rand = spark.range(SAMPLE_STRINGS).select(F.explode(F.array(*made)).alias("s")).filter(F.length("s") > 1).select(F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"), "s")
+    at = lambda i: F.substring(F.col("s"), i, F.lit(1))
+    rand = rand.groupBy(at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b")).agg(F.count("*").alias("n"))
+    return rand.select(F.lit(True).alias("random"), "a", "b", "n").unionByName(identifier_transitions(docs, text).select(F.lit(False).alias("random"), "a", "b", "n"))
 
 
 def transition_table(sample: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, identifier) for each a, b of the alphabet, smoothed, in row order."""
     k = len(ALPHABET)
-    at = lambda x, i: F.instr(F.lit(ALPHABET), F.substring(x, i, F.lit(1))) - 1
-    pairs = sample.filter(F.length("s") > 1).select("random", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"), "s").select("random", at(F.col("s"), F.col("i")).alias("a"), at(F.col("s"), F.col("i") + 1).alias("b"))
-    rows = bounded_rows(pairs.filter("a >= 0 and b >= 0").groupBy("random", "a", "b").count(), 2 * k * k, "transitions")
-    n = {(r["random"], r["a"], r["b"]): r["count"] for r in rows}
+    at = lambda c: F.instr(F.lit(ALPHABET), F.col(c)) - 1
+    rows = bounded_rows(sample.select("random", at("a").alias("a"), at("b").alias("b"), "n").filter("a >= 0 and b >= 0").groupBy("random", "a", "b").agg(F.sum("n").alias("n")), 2 * k * k, "transitions")
+    n = {(r["random"], r["a"], r["b"]): r["n"] for r in rows}
     out = []
     for a in range(k):
         total = {c: sum(n.get((c, a, b), 0) for b in range(k)) + SMOOTHING * k for c in (True, False)}

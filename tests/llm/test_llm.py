@@ -154,6 +154,22 @@ def test_op3(spark, corpus, sf, docs, empty):
     assert secrets.scan(docs, table=table).count() == len(ODD) + 2 and secrets.scan(empty, table=table).count() == 0
 
 
+def test_op3_identifiers_of_all_documents(spark, corpus, sf, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK_WORDS", 5)
+    want = Counter()
+    for _, t in corpus:
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", re.sub(r"[^A-Za-z \t\n\x0b\f\r]+", "", t or "")) if len(x) > 1]
+        if len(w) > 3:
+            joined = "_".join(w)
+            for s in (joined, "-".join(w), "".join(w), "".join(x[0].upper() + x[1:].lower() for x in w), joined.upper(), "1".join(w)):
+                want.update(zip(s, s[1:], strict=False))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {(r["a"], r["b"]): r["n"] for r in secrets.identifier_transitions(docs, "text").collect()}
+    assert got == want
+    tables = [secrets.transition_table(secrets.training_sample(spark, d, "text")) for d in (docs.repartition(7), docs.orderBy("lang").coalesce(1))]
+    assert tables[0] == tables[1]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
