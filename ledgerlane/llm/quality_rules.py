@@ -2,8 +2,8 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted: one of a trusted target, one of the whole raw corpus.
 A document's verdict is the mean, per n-gram, of the log-likelihood ratio of target to raw, compared with a fixed
-threshold. Raw counts come from every document. The target is a bounded set of documents that people marked good
-(``TARGET_ROWS`` of them, chosen by a seeded hash of the id), as such sets are curated ones in practice.
+threshold. Raw counts come from every document, and those of the target from every document whose id is trusted. Up to
+``BROADCAST_IDS`` trusted ids are sent to the tasks; more are joined by a shuffle. The counts are the same either way.
 
 Counting is map-side: a task adds up ``BUCKETS`` counters and emits those that aren't zero, so the shuffle follows the
 number of tasks, not of words, and the model sent to the tasks has ``BUCKETS`` numbers whatever the corpus.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.runtime import arrow_map, bounded_rows
 from ledgerlane.llm.textkernel import SPACE, Chunk, U, chunks, distinct_per_row, lines, mix, ngrams, prefix, repeated, row_sums, span_hashes, words
 
-BUCKETS, TARGET_ROWS, THRESHOLD = 1 << 15, 1 << 14, -0.12
+BUCKETS, BROADCAST_IDS, THRESHOLD = 1 << 15, 1 << 20, -0.12
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 SYMBOL = np.zeros(256, bool)
@@ -64,14 +64,17 @@ def base_counts(c: Chunk) -> dict[str, np.ndarray]:
     }
 
 
-def count_grams(docs: DataFrame, target_ids: np.ndarray, text: str, doc_id: str) -> np.ndarray:
+def count_grams(docs: DataFrame, trusted_ids: DataFrame, text: str, doc_id: str) -> np.ndarray:
     """Counts of each bucket in the raw corpus and in the target: an array of 2 x BUCKETS."""
-    ids = docs.sparkSession.sparkContext.broadcast(np.sort(target_ids))
+    ids = trusted_ids.select(F.col(doc_id).cast("bigint").alias("_id")).dropna().distinct().withColumn("_trusted", F.lit(True))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    marked = docs.join(ids, F.col(doc_id) == F.col("_id"), "left").select(F.coalesce("_trusted", F.lit(False)), text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in it:
-            trusted = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids.value)
+            trusted = batch.column(0).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1)):
                 w = words(c)
                 row, bucket = grams(span_hashes(prefix(c.buf), w.start, w.end), w.rows())
@@ -80,7 +83,7 @@ def count_grams(docs: DataFrame, target_ids: np.ndarray, text: str, doc_id: str)
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    summed = arrow_map(docs.select(doc_id, text), run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    summed = arrow_map(marked, run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     out = np.zeros((2, BUCKETS))
     for r in bounded_rows(summed, BUCKETS, "buckets"):
         out[:, r["bucket"]] = r["raw"], r["target"]
@@ -102,10 +105,9 @@ def apply_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc
     base rules; a null id is never in the target. Repeated rows are judged alike, each for itself. Other columns are
     ignored. An empty table gives an empty one. Texts are handled whole. A ratio equal to the threshold is kept.
     """
-    chosen = trusted_ids.select(doc_id).dropna().orderBy(F.xxhash64(doc_id), doc_id).limit(TARGET_ROWS)
-    ids = np.array([r[0] for r in bounded_rows(chosen, TARGET_ROWS, "target")], np.int64)
+    trusted_ids = trusted_ids.select(F.col(doc_id).alias("doc_id"))
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    table = docs.sparkSession.sparkContext.broadcast(ratio_table(count_grams(docs, ids, "text", "doc_id")))
+    table = docs.sparkSession.sparkContext.broadcast(ratio_table(count_grams(docs, trusted_ids, "text", "doc_id")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,6 +126,18 @@ def test_op2_ratio_by_hand(spark):
     assert got[1] > 0 > got[2]
 
 
+def test_op2_counts_every_trusted_document(spark, monkeypatch):
+    n = 17_000  # more than the 16,384 that were once counted
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x")).alias("text"))
+    docs = df.unionByName(df.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("no id").alias("text")))
+    trusted = spark.range(2 * n).select((F.col("id") % (n + 500)).alias("doc_id"))  # repeated ids, and some that documents lack
+    counts = quality_rules.count_grams(docs, trusted, "text", "doc_id")
+    assert counts[1].sum() == 3 * n and counts[0].sum() == 3 * n + 3
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert (quality_rules.count_grams(docs, trusted, "text", "doc_id") == counts).all()
+    assert set(quality_rules.apply_rules(df, trusted).toPandas()["llr"]) == {0.0}
+
+
 def secrets_by_hand(t):
     found = []
     for k, (pattern, good) in enumerate([(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]):
