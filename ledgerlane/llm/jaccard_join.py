@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.components import connected_components
 from ledgerlane.llm.runtime import arrow_map, bounded_rows, durable
-from ledgerlane.llm.textkernel import LOWER, Chunk, U, chunks, distinct_per_row, mix, ngrams, prefix, span_hashes, words
+from ledgerlane.llm.textkernel import LOWER, Chunk, U, chunks, distinct_per_row, mix, ngrams, span_hashes, words
 
 SHORT, BLOCK, STRIDE = 64, 1500, 8
 #: Packed n-grams that a counting bucket should hold, and that a task holds before it sends them.
@@ -44,7 +44,7 @@ def sets_of(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of each row's distinct n-grams, ascending. A row of fewer than n words has its whole sequence as one."""
     c = c._replace(buf=LOWER[c.buf])
     w = words(c)
-    row, h = w.rows(), span_hashes(prefix(c.buf), w.start, w.end)
+    row, h = w.rows(), span_hashes(c.buf, w.start, w.end)
     count = np.diff(w.first)
     at, g = ngrams(h, row, n)
     rows, hashes = [row[at]], [g]

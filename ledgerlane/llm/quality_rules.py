@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.runtime import arrow_map, bounded_rows
-from ledgerlane.llm.textkernel import SPACE, Chunk, U, chunks, distinct_per_row, lines, mix, ngrams, prefix, repeated, row_sums, span_hashes, words
+from ledgerlane.llm.textkernel import SPACE, Chunk, U, chunks, distinct_per_row, lines, mix, ngrams, repeated, row_sums, span_hashes, words
 
 BUCKETS, BROADCAST_IDS, THRESHOLD = 1 << 15, 1 << 20, -0.12
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -36,16 +36,15 @@ def grams(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def base_counts(c: Chunk) -> dict[str, np.ndarray]:
     """The base counts of each row, and the hashes and rows of its words under ``_h`` and ``_row``."""
-    p = prefix(c.buf)
     w = words(c)
     row = w.rows()
-    h = span_hashes(p, w.start, w.end)
+    h = span_hashes(c.buf, w.start, w.end)
     n_rows = c.hi - c.lo
     inside = ~SPACE[c.buf]
     ln = lines(c)
     line_row = ln.rows()
     wordy = np.searchsorted(w.start, ln.end) > np.searchsorted(w.start, ln.start)
-    lh, lr = span_hashes(p, ln.start[wordy], ln.end[wordy]), line_row[wordy]
+    lh, lr = span_hashes(c.buf, ln.start[wordy], ln.end[wordy]), line_row[wordy]
     unique_rows, _ = distinct_per_row(lh, lr)
     at, eight = ngrams(h, row, WINDOW)
     again = at[repeated(mix(eight ^ (row[at].astype(np.uint64) * U(0x9E3779B97F4A7C15))))]
@@ -77,7 +76,7 @@ def count_grams(docs: DataFrame, trusted_ids: DataFrame, text: str, doc_id: str)
             trusted = batch.column(0).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1)):
                 w = words(c)
-                row, bucket = grams(span_hashes(prefix(c.buf), w.start, w.end), w.rows())
+                row, bucket = grams(span_hashes(c.buf, w.start, w.end), w.rows())
                 total[0] += np.bincount(bucket, minlength=BUCKETS)
                 total[1] += np.bincount(bucket[trusted[c.lo : c.hi][row]], minlength=BUCKETS)
         some = np.flatnonzero(total[0])

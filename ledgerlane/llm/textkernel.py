@@ -16,33 +16,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
 U = np.uint64
 
-_rng = np.random.Generator(np.random.PCG64(20250101))
-#: A random value for each byte, and an odd base with its inverse modulo 2**64, for prefix hashes.
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for the worker and grown by doubling."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), CHUNK + 1)
-        for k, b in enumerate((BASE, INVERSE)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+#: Spans of up to SHORT_SPAN bytes are hashed 8 bytes at a time by array operations, longer ones one by one.
+SHORT_SPAN = 64
+STEP = U(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k bytes of 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,19 +106,26 @@ def lines(c: Chunk) -> Spans:
     return Spans(start, end, first)
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers of BASE, modulo 2**64."""
-    up, _ = _power_tables(len(buf) + 1)
-    out = np.empty(len(buf) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(BYTE_VALUE[buf] * up[: len(buf)], out=out[1:])
-    return out
-
-
-def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges, from ``prefix``; equal bytes give equal hashes wherever they stand."""
-    _, down = _power_tables(len(p))
-    return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges; equal bytes give equal hashes wherever they stand.
+
+    A short range is folded by a bijection for each 8 bytes, begun with its length, so ranges of up to 8 bytes never
+    collide and no structure of longer ones (as that which defeats polynomials modulo 2**64) makes them collide.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) + STEP)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from every place on
+    on, at, left = np.flatnonzero((size > 0) & (size <= SHORT_SPAN)), None, None
+    while len(on):
+        at, left = (start[on], size[on]) if at is None else (at, left)
+        h[on] = mix(h[on] ^ (eight[at] & _MASK[np.minimum(left, 8)]) * STEP)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    raw = memoryview(np.ascontiguousarray(buf))
+    for i in np.flatnonzero(size > SHORT_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h
 
 
 def ngrams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +135,7 @@ def ngrams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     acc = h[:m].copy()
     for j in range(1, k):
+        acc ^= acc >> U(29)  # between the steps, so that the whole isn't linear in the words
         acc *= U(0xD6E8FEB86659FD93)
         acc += h[j : j + m]
     at = np.flatnonzero(row[:m] == row[k - 1 :])

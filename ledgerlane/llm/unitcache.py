@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ledgerlane.llm.textkernel import U, Chunk, prefix, span_hashes
+from ledgerlane.llm.textkernel import U, Chunk, span_hashes
 
 FIRST = U(0xA0761D6478BD642F)
 
@@ -70,7 +70,7 @@ def unit_starts(c: Chunk, boundary: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def unit_hashes(c: Chunk, start: np.ndarray, end: np.ndarray, first: np.ndarray, first_differs: bool) -> np.ndarray:
     """Hashes of the units; the first unit of a row gets its own where a tokenizer treats it differently."""
-    h = span_hashes(prefix(c.buf), start, end)
+    h = span_hashes(c.buf, start, end)
     if first_differs:
         at = np.unique(first[:-1][np.diff(first) > 0])
         h[at] ^= FIRST
