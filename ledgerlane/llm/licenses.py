@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.runtime import spare
+
 # Words of which every known sentence holds one.
 MARKERS = ["licen", "permission", "warrant", "redistribut", "rights reserved", "public domain", "liable", "copyright", "cc by", "cc0", "spdx", "neither the name"]
 
@@ -205,8 +207,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rules = F.transform(rules, lambda r: F.struct(F.concat(F.lit(" "), F.replace(F.trim(r["r"]), F.lit(" "), F.lit("  ")), F.lit(" ")).alias("r"), r["n"].alias("n")))
     empty = F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("found"))
     matched = F.when(F.col("sentence_ids") != "", F.aggregate(rules, begin, step)).otherwise(empty)
-    done = df.withColumn("sentence_ids", ids).withColumn("_matched", matched)
-    return done.withColumn("licenses", F.array_join("_matched.found", ",")).withColumn("unmatched", F.trim(F.regexp_replace("_matched.rest", " +", " "))).drop("_matched")
+    held = spare("matched", df.columns)
+    done = df.withColumn("sentence_ids", ids).withColumn(held, matched)
+    return done.withColumn("licenses", F.array_join(F.col(held)["found"], ",")).withColumn("unmatched", F.trim(F.regexp_replace(F.col(held)["rest"], " +", " "))).drop(held)
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

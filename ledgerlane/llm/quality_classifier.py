@@ -6,7 +6,8 @@ through a logistic calibration, is its score.
 
 People label documents, not lines. Training starts from lines that take their document's label, then twice lets a local
 model say which lines of a bad document are good after all, and fits the field to the result. It sees a sample bounded
-by ``TRAIN_DOCS`` documents and the first ``TRAIN_LINES`` lines of each; scoring sees every line.
+by ``TRAIN_DOCS`` documents, of which those with more than ``TRAIN_LINES`` lines are left out whole, so that what the
+driver fits is bounded; of the others every line counts. Scoring sees every line of every document.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.labelled import held_out, training_rows
-from ledgerlane.llm.runtime import arrow_map, bounded_rows
-from ledgerlane.llm.textkernel import SPACE, Chunk, Spans, U, chunks, distinct_per_row, lines, mix, ngrams, prefix, repeated, span_hashes, words
+from ledgerlane.llm.runtime import arrow_map, bounded_rows, spare
+from ledgerlane.llm.textkernel import SPACE, Chunk, Spans, U, chunks, distinct_per_row, lines, mix, ngrams, repeated, span_hashes, words
 
 TRAIN_DOCS, TRAIN_LINES, CUT = 4000, 200, 0.3
 OWN = 16  # features of a line by itself
@@ -35,8 +36,8 @@ PUNCT[list(b"!\"'(),-./:;?")] = True
 
 def line_features(c: Chunk) -> tuple[np.ndarray, Spans, np.ndarray]:
     """Features of each line with those of its neighbours, the lines, and their weights (bytes that aren't white space, one at least)."""
-    p, w, ln = prefix(c.buf), words(c), lines(c)
-    doc, h = w.rows(), span_hashes(p, w.start, w.end)
+    w, ln = words(c), lines(c)
+    doc, h = w.rows(), span_hashes(c.buf, w.start, w.end)
     n_lines = len(ln.start)
     of = np.repeat(np.arange(n_lines), np.diff(np.append(np.searchsorted(w.start, ln.start), len(w.start))))  # a word's line
     line_doc = ln.rows()
@@ -60,7 +61,7 @@ def line_features(c: Chunk) -> tuple[np.ndarray, Spans, np.ndarray]:
     at, two = ngrams(h, doc, 2)
     again = np.zeros(len(h))
     again[at] = repeated(mix(two ^ doc[at].astype(np.uint64) * U(0x9E3779B97F4A7C15)))
-    lh = span_hashes(p, ln.start, ln.end)
+    lh = span_hashes(c.buf, ln.start, ln.end)
     twice = repeated(mix(lh ^ line_doc.astype(np.uint64) * U(0x9E3779B97F4A7C15))) & (n_words > 0)
     last = c.buf[np.maximum(w.end - 1, 0)] if len(w.end) else np.zeros(0, np.uint8)
     begins = c.buf[w.start] if len(w.start) else np.zeros(0, np.uint8)
@@ -184,7 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             for c in chunks(batch.column(0)):
                 x, ln, weight = line_features(c)
                 for r in range(c.hi - c.lo):
-                    a, b = int(ln.first[r]), int(min(ln.first[r + 1], ln.first[r] + TRAIN_LINES))
+                    a, b = int(ln.first[r]), int(ln.first[r + 1])
+                    if b - a > TRAIN_LINES:
+                        continue
                     for o, v in zip(out, (y[c.lo + r], b - a, x[a:b].astype("<f4").tobytes(), weight[a:b].astype("<f4").tobytes()), strict=True):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["y", "n", "x", "weight"])
@@ -220,7 +223,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[st
                 out[c.lo : c.hi] = _sigmoid(np.stack([np.ones(len(q)), q, q**4], 1) @ m["calibration"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*kept, column])
 
-    chosen = docs.select(*kept, F.col(text).alias("_scored"))
+    chosen = docs.select(*kept, F.col(text).alias(spare("text", kept)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return arrow_map(chosen, run, f"{fields}, {column} double")
 

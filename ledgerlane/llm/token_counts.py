@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.runtime import arrow_map, bounded_rows
+from ledgerlane.llm.runtime import arrow_map, bounded_rows, spare
 from ledgerlane.llm.textkernel import Chunk, chunks
 from ledgerlane.llm.unitcache import SlotTable, unit_hashes, unit_starts
 
@@ -146,8 +146,9 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
     """
     spark = df.sparkSession
     kept = [c for c in (keep or df.columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
-    df = df.select(*kept, F.col(text).alias("_counted"))
-    shared = spark.sparkContext.broadcast(frequent_lengths(df, "_counted", model_path, frequent))
+    counted = spare("text", kept)
+    df = df.select(*kept, F.col(text).alias(counted))
+    shared = spark.sparkContext.broadcast(frequent_lengths(df, counted, model_path, frequent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (model_path, len(shared.value[0]), int(shared.value[0].sum()) if len(shared.value[0]) else 0)

@@ -1,4 +1,4 @@
-"""Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
+"""Toxicity: gradient-boosted trees over dense features of a text, calibrated by centred isotonic regression.
 
 The features are densities of lexicon words, second-person words near them, capitals, punctuation and obfuscation. The
 lexicon is learned: words, and starts of words, that labelled toxic documents have far more often than others. The
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.labelled import held_out, training_rows
-from ledgerlane.llm.runtime import arrow_map, bounded_rows
-from ledgerlane.llm.textkernel import LOWER, SPACE, Chunk, U, chunks, distinct_per_row, prefix, row_sums, span_hashes, words
+from ledgerlane.llm.runtime import arrow_map, bounded_rows, spare
+from ledgerlane.llm.textkernel import LOWER, SPACE, Chunk, U, chunks, distinct_per_row, row_sums, span_hashes, words
 
 TRAIN_DOCS, LEXICON, LEAST_DOCS, MEDIUM, STRONG, NEAR, CUT = 8000, 4096, 4, 2.5, 4.0, 5, 0.5
 PREFIXES = (4, 5, 6)
@@ -48,18 +48,18 @@ def cleaned(c: Chunk, table: np.ndarray) -> Chunk:
 
 def word_keys(c: Chunk) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The rows of the words, and pairs (positions of words, hashes): whole words, then their starts of each length."""
-    p, w = prefix(c.buf), words(c)
-    keys = [(np.arange(len(w.start)), span_hashes(p, w.start, w.end))]
+    w = words(c)
+    keys = [(np.arange(len(w.start)), span_hashes(c.buf, w.start, w.end))]
     for k in PREFIXES:
         at = np.flatnonzero(w.end - w.start > k)
-        keys.append((at, span_hashes(p, w.start[at], w.start[at] + k) ^ PREFIX_SALT))
+        keys.append((at, span_hashes(c.buf, w.start[at], w.start[at] + k) ^ PREFIX_SALT))
     return w.rows(), keys
 
 
 def _hash_words(ws: list[str]) -> np.ndarray:
     c = next(chunks(pa.array([" ".join(ws)])))
     w = words(c)
-    return np.sort(span_hashes(prefix(c.buf), w.start, w.end))
+    return np.sort(span_hashes(c.buf, w.start, w.end))
 
 
 PERSONS = _hash_words(SECOND_PERSON)
@@ -167,21 +167,23 @@ class Trees:
 
 
 def isotonic(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: the non-decreasing step function of p that fits y best, as points to interpolate."""
+    """Pool-adjacent-violators, then a line through the blocks' centres (centred isotonic regression), as points to interpolate.
+
+    The line rises wherever the step function of the blocks does, so texts of different p rarely get one score.
+    """
     order = np.argsort(p, kind="stable")
-    blocks: list[list[float]] = []  # weight, weighted y, first p, last p
+    blocks: list[list[float]] = []  # weight, weighted y, last p, weighted p
     for q, v, w in zip(p[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        if blocks and blocks[-1][3] == q:
-            blocks[-1][0] += w
-            blocks[-1][1] += w * v
+        if blocks and blocks[-1][2] == q:
+            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + w * v, q, blocks[-1][3] + w * q]
         else:
-            blocks.append([w, w * v, q, q])
+            blocks.append([w, w * v, q, w * q])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            w2, s2, _, last = blocks.pop()
-            blocks[-1][0] += w2
-            blocks[-1][1] += s2
-            blocks[-1][3] = last
-    return np.array([x for b in blocks for x in (b[2], b[3])]), np.array([b[1] / b[0] for b in blocks for _ in (0, 1)])
+            w2, s2, last, p2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + w2, blocks[-1][1] + s2, last, blocks[-1][3] + p2]
+    at, value = np.array([b[3] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
+    # probabilities beyond the outer centres go on to the ends of the scale
+    return np.concatenate([[0.0], at, [1.0]]), np.concatenate([[0.0], value, [1.0]])
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +244,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[st
 
     Columns in ``keep`` (default: all) pass through; one named like ``column`` is replaced. A null text counts as empty, and
     an empty text has the score of a text without any sign. Without a model every score is 0. Repeated rows get the same
-    score. An empty table gives an empty one. The whole text counts. Texts that the calibration makes equal are still
-    told apart by a hundredth of the uncalibrated score.
+    score. An empty table gives an empty one. The whole text counts.
     """
     kept = [c for c in (keep or docs.columns) if c != column]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -254,10 +255,10 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[st
             out = np.zeros(len(batch))
             for c in chunks(batch.column(len(kept))) if m else ():
                 p = m["trees"].predict(features(c, m["lexicon"]))
-                out[c.lo : c.hi] = p if m["isotonic"] is None else 0.99 * np.interp(p, *m["isotonic"]) + 0.01 * p
+                out[c.lo : c.hi] = p if m["isotonic"] is None else np.interp(p, *m["isotonic"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*kept, column])
 
-    chosen = docs.select(*kept, F.col(text).alias("_scored"))
+    chosen = docs.select(*kept, F.col(text).alias(spare("text", kept)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return arrow_map(chosen, run, f"{fields}, {column} double")
 
