@@ -8,8 +8,9 @@ sketch of floor((1 - t) * u) + 1 values has at least one that the document holds
 if any of its shingles is in the item's sketch, hence no item is missed whatever the document's length, and the exact
 count over all shingles of the item decides.
 
-The items are the query set. They go to the tasks in blocks of at most ``BLOCK_SHINGLES`` shingles; every block is
-searched in all documents, in the same pass over a partition. Nothing is shuffled.
+The items are the query set. They go to the tasks in blocks of about ``BLOCK_SHINGLES`` shingles, one after the other:
+a pass over the documents has one block in memory, and the next pass begins from the written result of the one before.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.runtime import arrow_map
-from ledgerlane.llm.textkernel import LOWER, Chunk, U, chunks, distinct_per_row, mix, ngrams, prefix, span_hashes, words
+from ledgerlane.llm.runtime import arrow_map, discard, durable, spare
+from ledgerlane.llm.textkernel import LOWER, Chunk, U, chunks, distinct_per_row, mix, ngrams, span_hashes, words
 from ledgerlane.llm.unitcache import SlotTable
 
 SHINGLE, CONTAINMENT, BLOCK_SHINGLES, SEED = 5, 0.8, 1 << 20, U(0x2545F4914F6CDD1D)
@@ -44,7 +45,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
             ids, width, sets = batch.column(0).to_pylist(), [], []
             for c in map(normal, chunks(batch.column(1))):
                 w = words(c)
-                h = span_hashes(prefix(c.buf), w.start, w.end)
+                h = span_hashes(c.buf, w.start, w.end)
                 for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                     k = min(SHINGLE, b - a)
                     width.append(k)
@@ -105,7 +106,7 @@ def search(c: Chunk, block: ItemBlock, sketch_table: SlotTable, full_table: Slot
     """Rows, items and shared shingles of the pairs that reach the containment."""
     c = normal(c)
     w = words(c)
-    h, row = span_hashes(prefix(c.buf), w.start, w.end), w.rows()
+    h, row = span_hashes(c.buf, w.start, w.end), w.rows()
     n = len(block.ids)
     rows, hashes = [], []
     for k in block.widths:
@@ -136,20 +137,29 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     The columns in ``keep`` (default: all) pass through; one named like ``column`` is replaced. A null or empty text holds
     nothing, and an item without a word, or a null one, is held by nothing. Items under five words match as one sequence
     of words. Repeated items are all reported. Repeated rows are searched each for itself. Empty tables of either kind
-    give rows without hits, or no rows. The hits of a row are in order of item_id.
+    give rows without hits, or no rows. The hits of a row are in order of item_id. Texts of any length are searched whole;
+    a text is held in memory with its hashes. Ids of items are cast to bigint.
     """
     kept = [c for c in (keep or docs.columns) if c != column]
     spark = docs.sparkSession
-    sets = item_shingles(items, item_id, item_text)
+    sets = durable(item_shingles(items, item_id, item_text), "items")
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_SHINGLES))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    out = docs.select(*kept, F.col(text).alias("_searched"), F.array().cast(HITS).alias(column))
+    searched = spare("text", [*kept, column])
+    out = docs.select(*kept, F.col(text).alias(searched), F.array().cast(HITS).alias(column))
     for b in range(blocks):
+        if b:
+            out = durable(out, "searched")
+            shared.destroy()
+            if b > 1:
+                discard(before)
+            before = out
         rows = sets.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()  # a block of the query set
         shared = spark.sparkContext.broadcast(ItemBlock([r[0] for r in rows], [r[1] for r in rows], [np.array(r[2], np.int64) for r in rows], containment))
-        out = arrow_map(out, _searcher(shared, len(kept)), f"{fields}, _searched string, {column} {HITS}")
-    return out.drop("_searched") if blocks > 1 else out.select(*kept, column)
+        out = arrow_map(out, _searcher(shared, len(kept)), f"{fields}, `{searched}` string, `{column}` {HITS}")
+    discard(sets)
+    return out.drop(searched)
 
 
 def _searcher(shared, n_kept: int):

@@ -4,20 +4,17 @@ Each partition is read once, with a fixed number of open windows. A document's i
 the rest goes to the open window that it fits best. When it fits none, the fullest window is topped up with the head of
 the rest (unless the gap is under ``MIN_PIECE``) and emitted. Windows still open at the end of a partition are leftovers:
 their pieces are few (at most the open windows of every partition) and are merged, by best fit decreasing, in groups of
-about ``MERGE_PIECES`` pieces, each group in one task.
+about ``MERGE_PIECES`` pieces of a window at most, each group in one task.
 """
 
 from __future__ import annotations
 
-import base64
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +24,7 @@ from ledgerlane.llm.runtime import arrow_map, durable
 from ledgerlane.llm.textkernel import SPACE, Chunk, chunks
 from ledgerlane.llm.unitcache import SlotTable, unit_hashes, unit_starts
 
-OPEN_WINDOWS, MIN_PIECE, MERGE_PIECES = 32, 16, 50_000
+OPEN_WINDOWS, MIN_PIECE, MERGE_PIECES = 32, 16, 8192
 CACHE_BITS = 21
 #: Units that the library encodes at a time.
 SLICE = 4096
@@ -59,39 +56,15 @@ def boundaries(c: Chunk) -> np.ndarray:
     return out
 
 
-# Fixed value: the pre-tokenizer's pattern.
-GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def plain(unit: str) -> bool:
-    """Only characters below U+0250, whose classes all versions of Unicode agree on, and no part of a special token."""
-    return "<|" not in unit and max(unit) < "\u0250"
-
-
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the ids of known units kept in the worker.
+    """Ids of whole texts by the tokenizers library, with the ids of known units kept in the worker."""
 
-    ``ranks_path`` may name the same vocabulary as tiktoken ranks. Units of Latin letters without the special token's
-    first characters then come from tiktoken, which gives the same ids in a third of the time; all others don't.
-    """
-
-    def __init__(self, path: str, ranks_path: str | None = None):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.ranks = None
-        if ranks_path:
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranks = tiktoken.Encoding("own", pat_str=GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.reset()
 
     def _ids(self, units: list[str]) -> list[list[int]]:
-        if self.ranks is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        out = [self.ranks.encode_ordinary(u) if plain(u) else None for u in units]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def reset(self) -> None:
         self.table = SlotTable(CACHE_BITS)  # unit -> where its ids lie in the pool, and how many, as place * 2**20 + number
@@ -173,21 +146,21 @@ class OpenWindows:
             return
 
 
-def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", window: int = 2048, end_id: int = 1, open_windows: int = OPEN_WINDOWS, min_piece: int = MIN_PIECE, merge_pieces: int = MERGE_PIECES, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", window: int = 2048, end_id: int = 1, open_windows: int = OPEN_WINDOWS, min_piece: int = MIN_PIECE, merge_pieces: int = MERGE_PIECES) -> DataFrame:
     """Packs the ids of every text, ``end_id`` after each, into sequences of at most ``window`` ids.
 
-    Returns a row for each piece: doc_id, start, length, ids_crc32 (of its ids as little-endian unsigned 32-bit numbers),
-    doc_tokens, sequence_id, offset, and ``ids`` if asked for. Every id of a document lies in one piece.
+    Returns a row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit numbers), doc_tokens,
+    sequence_id and offset. Every id of a document lies in one piece.
 
     A null or empty text is the single id ``end_id``. Rows with the same doc_id, or a null one, are packed each for
     itself. Other columns are ignored. An empty table gives an empty one. A text of any length is cut as needed.
     """
-    columns = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, done boolean" + (", ids array<int>" if with_ids else "")
+    columns = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, done boolean, ids binary"
     names = [x.split()[0] for x in columns.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _workers:
-            _workers[tokenizer_path] = Encoder(tokenizer_path, ranks_path)
+            _workers[tokenizer_path] = Encoder(tokenizer_path)
         encoder = _workers[tokenizer_path]
         part = TaskContext.get().partitionId() << 32
         windows = OpenWindows(window, open_windows, min_piece)
@@ -198,15 +171,13 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
             offset = 0
             for doc, start, length in pieces:
                 key, ids = held[doc]
-                part_ids = ids[start : start + length]
-                row = [key, start, length, zlib.crc32(part_ids.astype("<u4").tobytes()), len(ids), part | w, offset, done]
-                for column, value in zip(out, [*row, part_ids] if with_ids else row, strict=True):
+                for column, value in zip(out, [key, start, length, len(ids), part | w, offset, done, ids[start : start + length].astype("<u4").tobytes()], strict=True):
                     column.append(value)
                 offset += length
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 7 + [pa.bool_(), pa.list_(pa.int32())]
-            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=False)], names)
+            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
             for v in out:
                 v.clear()
             return batch
@@ -225,7 +196,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
                 open_docs = {d for p in windows.content.values() for d, _, _ in p}
                 for d in [d for d in held if d not in open_docs]:
                     del held[d]
-                if len(out[0]) > 5000:
+                if len(out[0]) > 2000:
                     yield flush()
         for w, pieces in windows.content.items():
             emit(w, pieces, False)
@@ -259,4 +230,5 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
