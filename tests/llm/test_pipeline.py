@@ -1,12 +1,16 @@
 """The corpus pipeline against a brute-force reading of its stages."""
 
 import re
+import zlib
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlane.llm import quality_classifier
-from tests.llm.test_llm import jaccard_by_hand, secrets_by_hand
+from tests.llm.test_llm import check_packing, jaccard_by_hand, secrets_by_hand
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,4 +57,37 @@ def test_stages(spark, sf):
 
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert set(out["doc_id"]) == ids
-    assert (out.groupby("doc_id")["length"].sum() == out.groupby("doc_id")["doc_tokens"].first()).all()
+    check_packing(out.assign(ids_crc32=[zlib.crc32(x) for x in out["ids"]]), [(i, r["text"]) for i, r in after.items()])
+    assert all(len(x) == 4 * n for x, n in zip(out["ids"], out["length"], strict=True))
+
+
+ROWS = [(1, "", "en"), (2, None, "en"), (3, "word " * 60_000, "de"), (4, "some words in a plain line\n" * 3, None), (4, "some words in a plain line\n" * 3, None), (None, "a row without an id", "en"), (5, "password=abcdef12345", "en")]
+
+
+@pytest.fixture
+def odd(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("bigint"))
+    for name in ("text_", "score", "hits", "component_id", "secret_spans", "SECRET_EXTRA", "base", "quality_score"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, sf, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, none = stage(spark, odd, sf), stage(spark, odd.filter("false"), sf)
+    assert none.count() == 0 and none.columns == got.columns
+    if name == "packing":
+        check = got.toPandas()
+        assert check["length"].sum() == check.drop_duplicates(["doc_id", "sequence_id", "offset"])["length"].sum() and set(check["doc_id"].dropna()) == {1, 2, 3, 4, 5}
+        assert check[check["doc_id"] == 2]["length"].tolist() == [1] and np.frombuffer(check[check["doc_id"] == 2]["ids"].iloc[0], "<u4").tolist() == [1]
+        return
+    assert got.columns == corpus_pipeline.COLUMNS
+    texts = sorted(map(repr, got.select("doc_id", "text").collect()))
+    want = [r[:2] if name != "secret scans" or r[0] != 5 else (5, "[SECRET]") for r in ROWS]
+    assert texts == sorted(map(repr, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
+def test_no_labels_keeps_all(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality(spark, odd, str(tmp_path)).count() == len(ROWS)
