@@ -177,6 +177,28 @@ def nested_tokens(program: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(spaced, ",", " "), r"\s+"), lambda t: t != "")
 
 
+def bracket_tokens(program: Column) -> Column:
+    """Tokens by bracket level: the text up to an opening bracket, operands at commas, and ")"; a call inside a call stays one operand. EOF at the end.
+
+    Spaces after commas aren't needed, and brackets that don't match are no error.
+    """
+    begin = F.struct(F.lit(0).alias("level"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+    push = lambda out, text: F.when(F.trim(text) != "", F.concat(out, F.array(F.trim(text)))).otherwise(out)
+
+    def step(s: Column, ch: Column) -> Column:
+        level, cur, out = s["level"], s["cur"], s["out"]
+        opens, closes, comma = ch == "(", ch == ")", ch == ","
+        first, last = opens & (level == 0), closes & (level == 1)
+        cut = comma & level.isin(0, 1)
+        # what stays open outside all brackets after ")" goes on into the next token, as text without a comma does
+        new_out = F.when(first, F.concat(out, F.array(F.trim(F.concat(cur, ch))))).when(last, F.concat(push(out, cur), F.array(F.lit(")")))).when(cut, push(out, cur)).otherwise(out)
+        kept = F.when(first, F.lit("")).when(last | cut, F.when(F.trim(cur) != "", F.lit("")).otherwise(cur)).otherwise(F.concat(cur, ch))
+        return F.struct((level + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("level"), kept.alias("cur"), new_out.alias("out"))
+
+    chars = F.filter(F.split(program, ""), lambda c: c != "")
+    return F.concat(F.aggregate(chars, begin, step, lambda s: push(s["out"], s["cur"])), F.array(F.lit("EOF")))
+
+
 def to_sequential(token: Column) -> Column:
     """Nested tokens as sequential ones: inner calls come first and are referred to by number."""
     begin = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
@@ -258,3 +280,13 @@ def execute_nested(program: pd.Series, table: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(p, t) for p, t in zip(program, table, strict=True)], dtype=object)
+
+
+def answer_of_nested(program: Column, table: Column) -> Column:
+    """The nested executor's result as text, "None" where it fails or there is no program. Text is never evaluated as code."""
+    return F.coalesce(execute_nested(program, table), F.lit("None"))
+
+
+def answer_of(program: Column, table: Column | None = None) -> Column:
+    """The lenient executor's result as text, "None" where it fails."""
+    return F.coalesce(F.nullif(format_answer(execute(program, table)), F.lit("")), F.lit("None"))

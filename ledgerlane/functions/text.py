@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,28 @@ def header_hash(x: Column) -> Column:
     return F.aggregate(F.filter(F.split(F.lower(F.trim(x)), ""), lambda c: c != ""), F.lit(0), lambda h, c: (h * 31 + F.ascii(c)) % 512)
 
 
+def meta_hash(x: Column) -> Column:
+    """the rolling hash modulo 10,000, as a share of it."""
+    return F.aggregate(F.filter(F.split(F.lower(F.trim(x)), ""), lambda c: c != ""), F.lit(0), lambda h, c: (h * 31 + F.ascii(c)) % 10000) / 10000
+
+
+def sinusoid(index: Column, dim: int, most: int = 512) -> Column:
+    """positional encoding of an index, clamped to 0 and ``most - 1``: sines at even and cosines at odd places."""
+    at = F.greatest(F.lit(0), F.least(index, F.lit(most - 1))).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i % 2 == 0, F.sin(at * F.exp(i * F.lit(-math.log(10000.0) / dim)))).otherwise(F.cos(at * F.exp((i - 1) * F.lit(-math.log(10000.0) / dim)))))
+
+
+def decode_program(logits: Column) -> Column:
+    """(ids, loss) of an array of logit arrays: the best token of each step up to and with the first token 0, and the sum of their -log p."""
+
+    def cut(best: Column) -> Column:
+        n = F.when(F.array_contains(best, F.lit(0).cast("bigint")), F.array_position(best, F.lit(0).cast("bigint")).cast("int")).otherwise(F.size(best))
+        loss = F.aggregate(F.transform(F.slice(logits, F.lit(1), n), lambda x: -F.log(F.array_max(softmax(x)))), F.lit(0.0), lambda a, v: a + v)
+        return F.struct(F.slice(best, F.lit(1), n).alias("ids"), loss.alias("loss"))
+
+    return let(F.transform(logits, argmax), cut)
+
+
 def numeric_features(v: Column) -> Column:
     """log magnitude, sign, whether zero, and a magnitude class in quarters."""
     size = F.abs(v)
@@ -99,6 +123,12 @@ def windows(x: Column, length: int, stride: int) -> Column:
     return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, length), " "))
 
 
+def labelled_windows(x: Column, gold: Column, length: int, stride: int) -> Column:
+    """V6: (pos, text, hits, label) of each sliding window: how many gold texts it holds, and 1 if it holds all (and there are any)."""
+    count = lambda t: F.size(F.filter(gold, lambda g: F.contains(t, g)))
+    return F.transform(windows(x, length, stride), lambda t, i: let(count(t), lambda n: F.struct(i.alias("pos"), t.alias("text"), n.alias("hits"), ((n == F.size(gold)) & (n > 0)).cast("int").alias("label"))))
+
+
 def row_to_text(header: Column, row: Column) -> Column:
     """P25: a table row as a sentence for each cell."""
     n = F.least(F.size(header), F.size(row)) - 1
@@ -140,6 +170,23 @@ def table_lines(x: Column) -> Column:
     return F.filter(F.split(x, "\n"), lambda s: s.rlike(TABLE_LINE))
 
 
+SEPARATOR_LINE = r"^\s*\|[\s\-:|]*-[\s\-:|]*$"
+
+
+def line_profile(x: Column) -> Column:
+    """number of lines, of table rows (lines that start with a bar and are no separators), of separators, of columns of the first row, and the share of characters outside tables."""
+
+    def count(lines: Column) -> Column:
+        table = F.filter(lines, lambda s: s.rlike(TABLE_LINE))
+        rows = F.filter(table, lambda s: ~s.rlike(SEPARATOR_LINE))
+        text = F.aggregate(F.filter(lines, lambda s: ~s.rlike(TABLE_LINE)), F.lit(0), lambda a, s: a + F.length(s))
+        whole = F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s))
+        columns = F.coalesce(F.size(F.split(F.regexp_replace(F.trim(F.get(rows, F.lit(0))), r"^\||\|$", ""), r"\|")), F.lit(0))
+        return F.struct(F.size(lines).alias("lines"), F.size(rows).alias("rows"), (F.size(table) - F.size(rows)).alias("separators"), F.when(F.size(rows) > 0, columns).otherwise(0).alias("columns"), F.coalesce(F.try_divide(text, whole), F.lit(1.0)).alias("text_share"))
+
+    return let(F.split(x, "\n"), count)
+
+
 def table_blocks(x: Column) -> Column:
     """V9: number of runs of table lines."""
     return let(F.transform(F.split(x, "\n"), lambda s: s.rlike(TABLE_LINE)), lambda f: F.size(F.filter(F.transform(f, lambda v, i: v & ~F.coalesce(F.get(f, i - 1), F.lit(False))), lambda v: v)))
@@ -179,6 +226,11 @@ def token_indices(tokens: Column, vocabulary: list[str], numbers: Column) -> Col
     return F.transform(tokens, lambda t: F.when(F.array_contains(vocab, t), F.array_position(vocab, t).cast("int") - 1).otherwise(F.coalesce(same(t) + len(vocabulary), F.lit(-1))))
 
 
+def indices_program(ids: Column, vocabulary: list[str], numbers: Column) -> Column:
+    """The tokens of places in the vocabulary and, after it, in the numbers; null for a place that is neither."""
+    return F.transform(ids, lambda i: F.when(i < 0, None).when(i < len(vocabulary), F.get(F.array(*map(F.lit, vocabulary)), i)).otherwise(F.get(numbers, i - len(vocabulary))))
+
+
 def label_mask(ids: Column, prompt: Column, ignore: int = -100, tail: int = 32) -> Column:
     """Ids with those of the prompt ignored; if nothing is left, the last ``tail`` ids are labels."""
     return F.transform(ids, lambda x, i: F.when((i < prompt) & ~((F.size(ids) <= prompt) & (i >= F.size(ids) - tail)), F.lit(ignore)).otherwise(x))

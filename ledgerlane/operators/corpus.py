@@ -17,11 +17,13 @@ def pair_similarity(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def similarity_statistics(pairs: DataFrame, n: int, thresholds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.5, 0.7)) -> DataFrame:
     """Over all n (n - 1) / 2 pairs; the missing ones enter as one zero row that counts for all of them."""
-    spark, total = pairs.sparkSession, n * (n - 1) // 2
+    total = n * (n - 1) // 2
     zeros = F.greatest(F.lit(total) - F.count("*"), F.lit(0))
     weighted = pairs.select("sim", F.lit(1).cast("bigint").alias("w")).unionByName(pairs.agg(F.lit(0.0).alias("sim"), zeros.alias("w")).filter("w > 0"))
-    weighted.createOrReplaceTempView("_weighted_pairs")
-    p = spark.sql("SELECT percentile(sim, array(0.5, 0.75, 0.9, 0.95, 0.99), w) AS p, sum(sim * w) / sum(w) AS mean, sum(sim * sim * w) / sum(w) AS square, max(sim) AS most" + "".join(f", sum(CASE WHEN sim > {t} THEN w ELSE 0 END) / sum(w) AS over_{round(t * 100)}" for t in thresholds) + " FROM _weighted_pairs")
+    w = F.sum("w")
+    over = [(F.sum(F.when(F.col("sim") > t, F.col("w")).otherwise(0)) / w).alias(f"over_{round(t * 100)}") for t in thresholds]
+    points = F.percentile("sim", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))), F.col("w"))
+    p = weighted.agg(points.alias("p"), (F.sum(F.col("sim") * F.col("w")) / w).alias("mean"), (F.sum(F.col("sim") * F.col("sim") * F.col("w")) / w).alias("square"), F.max("sim").alias("most"), *over)
     names = ("median", "p75", "p90", "p95", "p99")
     return p.select("mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"), *(F.col("p")[i].alias(k) for i, k in enumerate(names)), "most", *(f"over_{round(t * 100)}" for t in thresholds))
 
@@ -61,6 +63,17 @@ def violation_loss(score: Column, violated: Column) -> Column:
     return F.avg(F.when(violated, F.log1p(F.exp(score))).otherwise(0.0))
 
 
+def combined_loss(positive: Column, negative: Column, violated: Column, margin: float = 0.2, weight: float = 0.5) -> Column:
+    """The triplet loss, and ``weight`` times the violation loss of the negatives."""
+    return triplet_loss(positive, negative, margin) + weight * violation_loss(negative, violated)
+
+
+def gap_summary(gaps: DataFrame, worst: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Mean, median, and the shares below 0, 0.01 and 0.05; and the queries with the smallest gaps."""
+    share = lambda t, k: F.avg((F.col("gap") < t).cast("double")).alias(k)
+    return gaps.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.median("gap").alias("median"), share(0, "negative"), share(0.01, "under_01"), share(0.05, "under_05")), gaps.orderBy("gap", "query_id").limit(worst)
+
+
 def comparison_table(ours: DataFrame, baselines: DataFrame, metric: str = "mrr") -> DataFrame:
     """All methods of each dataset, the best baseline, and the distance to it."""
     both = ours.withColumn("ours", F.lit(True)).unionByName(baselines.withColumn("ours", F.lit(False)), allowMissingColumns=True)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.equivalence import programs_match
-from ledgerlane.functions.program import execute, format_answer, validate
-from ledgerlane.functions.verify import ANSWER_MARK, PROGRAM_MARK, answers_match, section
+from ledgerlane.functions.program import execute, execute_steps, execute_strict, format_answer, tokens, validate
+from ledgerlane.functions.verify import ANSWER_MARK, PROGRAM_MARK, answers_match, section, steps_match
 
 
 def candidate_answers(candidates: DataFrame, text: str, table: str | None = None) -> DataFrame:
@@ -31,29 +31,76 @@ def majority_vote(candidates: DataFrame, by: str, answer: str = "answer", progra
     return best.select(by, F.col("b.answer").alias("answer"), F.col("b.program").alias("program"), F.coalesce(F.col("b.c") / F.col("num_candidates"), F.lit(0.0)).alias("confidence"), "num_valid", "num_candidates")
 
 
-def join_gold(predictions: DataFrame, dataset: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Predictions with the gold columns of the last dataset row of their id; predictions without one stay."""
+def join_gold(predictions: DataFrame, dataset: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """Predictions with the gold columns of the dataset row of their id that is last by ``order``; predictions without one stay."""
     other = [c for c in dataset.columns if c != key]
-    last = dataset.groupBy(key).agg(F.max_by(F.struct(*other), F.col(order) if order else F.monotonically_increasing_id()).alias("_g"))
+    last = dataset.groupBy(key).agg(F.max_by(F.struct(*other), order).alias("_g"))
     return predictions.join(last, key, "left").select(*predictions.columns, *(F.col(f"_g.{c}").alias(c) for c in other if c not in predictions.columns))
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """Inner join in which every left row must meet exactly one right row; a repeated or missing key is an error when rows are read."""
+    other = [c for c in right.columns if c != key]
+    one = right.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(F.struct(*other)).alias("_r"))
+    joined = left.join(one, key, "left")
+    bad = F.when(F.col("_n").isNull(), F.lit("missing key: ")).when(F.col("_n") > 1, F.lit("repeated key: "))
+    checked = F.when(bad.isNull(), F.col("_r")).otherwise(F.raise_error(F.concat(bad, F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return joined.withColumn("_r", checked).select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in other))
+
+
 def judge(predictions: DataFrame) -> DataFrame:
-    """Adds ea (answer right), valid (program valid), pa (program equivalent to gold; null without a gold program) and has_program."""
+    """Adds ea (answer right), valid (program valid), pa (program equivalent to gold; null without a gold program), has_program and,
+    where there is a column ``gold_steps`` (an array of answers), step (the executed steps are the gold ones; null without any).
+
+    A column ``gold_answer_raw`` (an array of strings) is the answer as a list, in any order, where it isn't null.
+    """
     p, g = F.col("predicted_program"), F.col("gold_program")
     gold = F.coalesce(g, F.lit("")) != ""
     pairs = predictions.select("predicted_program", "gold_program").filter(gold).distinct().withColumn("_pa", programs_match(p, g))
     out = predictions.join(pairs.withColumnsRenamed({"predicted_program": "_p", "gold_program": "_g"}), p.eqNullSafe(F.col("_p")) & g.eqNullSafe(F.col("_g")), "left")
-    return out.withColumn("ea", answers_match(F.col("predicted_answer"), F.col("gold_answer"))).withColumn("valid", validate(p)).withColumn("pa", F.when(gold, F.col("_pa"))).withColumn("has_program", F.coalesce(p, F.lit("")) != "").drop("_p", "_g", "_pa")
+    out = out.withColumn("ea", answers_match(F.col("predicted_answer"), F.col("gold_answer"), F.col("gold_answer_raw") if "gold_answer_raw" in predictions.columns else None)).withColumn("valid", validate(p)).withColumn("pa", F.when(gold, F.col("_pa"))).withColumn("has_program", F.coalesce(p, F.lit("")) != "").drop("_p", "_g", "_pa")
+    if "gold_steps" not in predictions.columns:
+        return out
+    made = F.when(F.col("valid"), F.transform(execute_steps(p), format_answer)).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("step", F.when(F.size("gold_steps") > 0, steps_match(made, F.col("gold_steps"))))
 
 
 def breakdown(judged: DataFrame) -> DataFrame:
-    """Accuracies for each benchmark and, as ``all``, over everything, from one pass."""
+    """A1: accuracies for each benchmark and, as ``all``, over everything, from one pass. Programs and steps have denominators of their
+    own: the rows with a gold program, and with gold steps."""
     rate = lambda c: F.avg(F.col(c).cast("double"))
-    out = judged.cube("benchmark").agg(F.grouping("benchmark").alias("_all"), F.count("*").alias("total"), rate("ea").alias("answer_accuracy"), rate("pa").alias("program_accuracy"), rate("valid").alias("valid_rate"))
+    out = judged.cube("benchmark").agg(F.grouping("benchmark").alias("_all"), F.count("*").alias("total"), rate("ea").alias("answer_accuracy"), rate("pa").alias("program_accuracy"), rate("valid").alias("valid_rate"), *([rate("step").alias("step_accuracy")] if "step" in judged.columns else []))
     whole = F.col("_all") == 1
     zero = lambda c: F.when(whole, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c)  # noqa: E731  without a denominator: 0 overall, null for a benchmark
-    return out.select(F.when(whole, "all").otherwise(F.col("benchmark")).alias("benchmark"), "total", *map(zero, ("answer_accuracy", "program_accuracy", "valid_rate")))
+    return out.select(F.when(whole, "all").otherwise(F.col("benchmark")).alias("benchmark"), "total", *map(zero, ("answer_accuracy", "program_accuracy", "valid_rate", *(["step_accuracy"] if "step" in judged.columns else []))))
+
+
+def official_accuracy(rows: DataFrame) -> DataFrame:
+    """A3, M8: execution and program accuracy over all rows, from (predicted_program, gold_program, exe_ans, table): the strict executor's
+    result must equal the gold result exactly (a number, or yes and no)."""
+    p, g = F.col("predicted_program"), F.col("gold_program")
+    ran = rows.withColumn("_r", execute_strict(tokens(p), F.col("table"))).withColumn("_pa", programs_match(p, g))
+    text = F.coalesce(F.col("_r.yes_no"), F.lit(""))
+    exact = ~F.col("_r.invalid") & F.when(F.col("exe_ans").isin("yes", "no"), text == F.col("exe_ans")).otherwise(F.col("_r.num") == F.col("exe_ans").try_cast("double"))
+    rate = lambda c, k: F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(k)
+    return ran.agg(F.count("*").alias("n"), rate(exact, "execution_accuracy"), rate(F.col("_pa"), "program_accuracy"))
+
+
+#: The metrics of judged rows by name.
+METRICS = {
+    "answer_accuracy": lambda: F.avg(F.col("ea").cast("double")),
+    "program_accuracy": lambda: F.avg(F.col("pa").cast("double")),
+    "step_accuracy": lambda: F.avg(F.col("step").cast("double")),
+    "valid_rate": lambda: F.avg(F.col("valid").cast("double")),
+}
+
+
+def metrics(judged: DataFrame, names: list[str]) -> DataFrame:
+    """The named metrics in one row. An unknown name is an error, where it might be passed over in silence."""
+    unknown = [n for n in names if n not in METRICS]
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    return judged.agg(*(METRICS[n]().alias(n) for n in names))
 
 
 def error_taxonomy(judged: DataFrame) -> DataFrame:

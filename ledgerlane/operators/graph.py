@@ -102,3 +102,31 @@ def wrong_entity(docs: DataFrame, md: str, company: str, year: str) -> DataFrame
     """The table under a line that names another company and year."""
     line = F.concat(F.lit("Company: "), F.lit("Other "), F.col(company), F.lit(" | Year: "), (F.col(year).cast("int") + 1).cast("string"), F.lit("\n"))
     return docs.select("doc_id", F.concat(line, F.col(md)).alias("table_md"), F.lit("entity").alias("perturbation_type"), F.lit(True).alias("is_violated"))
+
+
+def node_of(node: DataFrame, doc_id: int, node_id: str) -> DataFrame:
+    """One node."""
+    return node.filter((F.col("doc_id") == doc_id) & (F.col("node_id") == node_id))
+
+
+def outgoing(edge: DataFrame, doc_id: int, node_id: str) -> DataFrame:
+    """Edges that begin at a node."""
+    return edge.filter((F.col("doc_id") == doc_id) & (F.col("src") == node_id))
+
+
+def incoming(edge: DataFrame, doc_id: int, node_id: str) -> DataFrame:
+    """Edges that end at a node."""
+    return edge.filter((F.col("doc_id") == doc_id) & (F.col("tgt") == node_id))
+
+
+def total_nodes(node: DataFrame) -> DataFrame:
+    """Nodes that are totals."""
+    return node.filter("is_total")
+
+
+def enriched(docs: DataFrame, tables: DataFrame, node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Documents with their template, its confidence, and numbers of cells, of accounting and of other edges; 0 without a table."""
+    kinds = edge.groupBy("doc_id").agg(F.count_if(F.col("edge_type") == "accounting").alias("n_accounting"), F.count_if(F.col("edge_type") != "accounting").alias("n_positional"))
+    cells = node.groupBy("doc_id").agg(F.count("*").alias("n_cells"))
+    out = docs.join(tables.select("doc_id", "template", "confidence"), "doc_id", "left").join(cells, "doc_id", "left").join(kinds, "doc_id", "left")
+    return out.fillna(0, ["n_cells", "n_accounting", "n_positional"]).fillna(0.0, ["confidence"])

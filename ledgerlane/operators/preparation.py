@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.text import assistant_text, comma_spaces, render, row_to_text
+from ledgerlane.sources.readers import checkpointed
 
 
 def first_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -34,9 +35,9 @@ def block_text(block: Column) -> Column:
 
 
 def unnest_questions(df: DataFrame, benchmark: str) -> DataFrame:
-    """A row for each question of a context; ids are the question's, else a number by place."""
-    q = df.select("table", "paragraphs", F.posexplode("questions").alias("i", "q"), F.monotonically_increasing_id().alias("_n"))
-    key = F.concat(F.lit(f"{benchmark}::"), F.coalesce("q.uid", F.concat(F.col("_n").cast("string"), F.lit("_"), F.col("i").cast("string"))))
+    """A row for each question of a context; ids are the question's, else one of the content and the question's place in it, which no file split changes."""
+    q = df.select("table", "paragraphs", F.posexplode("questions").alias("i", "q"), F.sha2(F.to_json(F.struct("table", "paragraphs")), 256).alias("_n"))
+    key = F.concat(F.lit(f"{benchmark}::"), F.coalesce("q.uid", F.concat(F.substring("_n", 1, 16), F.lit("_"), F.col("i").cast("string"))))
     return q.select(key.alias("id"), F.lit(benchmark).alias("benchmark"), F.transform("paragraphs", lambda p: p["text"]).alias("pre_text"), F.col("table.table").alias("table"), F.col("q.question").alias("question"), F.col("q.answer").alias("answer"), F.col("q.scale").alias("scale"))
 
 
@@ -74,6 +75,32 @@ def budget_prefix(df: DataFrame, by: str, order: list, cost: str, most_items: in
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most_items).withColumn("_sum", F.sum(cost).over(run)).filter(F.col("_sum") < most_cost).drop("_k", "_sum")
 
 
+def gold_budget(df: DataFrame, by: str, order: list, cost: str, gold: str, most_items: int, most_cost: int) -> DataFrame:
+    """V4: all gold rows, then others in order until there are ``most_items`` rows or the next one would reach ``most_cost`` with the gold ones."""
+    start = df.filter(gold).groupBy(by).agg(F.count("*").alias("_gn"), F.sum(cost).alias("_gc"))
+    w = Window.partitionBy(by).orderBy(*order)
+    rest = df.filter(~F.col(gold)).join(start, by, "left").withColumn("_k", F.row_number().over(w) + F.coalesce("_gn", F.lit(0))).filter(F.col("_k") <= most_items)
+    rest = rest.withColumn("_c", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_gc", F.lit(0))).filter(F.col("_c") < most_cost)
+    return df.filter(gold).unionByName(rest.select(df.columns))
+
+
+def model_input(df: DataFrame, by: str = "id") -> DataFrame:
+    """V5: an array of (ind, text) for each example: text before the table by place, table rows by place, text after it by place.
+
+    ``ind`` is ``text_i`` or ``table_j``; ``n_pre`` is the number of texts before the table. An example's evidence is bounded by its budget.
+    """
+    place, table = F.split_part("ind", F.lit("_"), F.lit(2)).cast("int"), F.startswith("ind", F.lit("table"))
+    section = F.when(table, 1).when(place < F.col("n_pre"), 0).otherwise(2)
+    rows = F.array_sort(F.collect_list(F.struct(section.alias("s"), place.alias("p"), "ind", "text")))
+    return df.groupBy(by).agg(F.transform(rows, lambda x: F.struct(x["ind"].alias("ind"), x["text"].alias("text"))).alias("model_input"))
+
+
+def section_top(df: DataFrame, by: str, section: str, score: str, key: str, n: int) -> DataFrame:
+    """V7: the n best rows of each section of each example."""
+    w = Window.partitionBy(by, section).orderBy(F.desc(score), key)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def length_batches(df: DataFrame, length: str, key: str, size: int, cells: int = 64) -> DataFrame:
     """Batches of rows of similar length. Rows are numbered within cells of the ordered length by range partitioning, so no task orders the whole table."""
     placed = df.repartitionByRange(cells, length, key).sortWithinPartitions(length, key)
@@ -128,24 +155,29 @@ def evidence(df: DataFrame) -> DataFrame:
     return sentence.unionByName(row).select("id", "ind", "text", F.coalesce(F.map_contains_key("gold_inds", F.col("ind")), F.lit(False)).cast("int").alias("label"))
 
 
-def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
-    """Nested structs as columns named by their path."""
+def flatten(df: DataFrame, sep: str = "_", items: int = 0) -> DataFrame:
+    """Nested structs as columns named by their path, and the first ``items`` elements of arrays as ``a_0``, ``a_1``, ...; without ``items`` arrays stay."""
     from pyspark.sql import types as T
 
-    def fields(kind: T.StructType, path: str, name: str):
-        for f in kind.fields:
-            p, n = (f"{path}.`{f.name}`" if path else f"`{f.name}`"), (f"{name}{sep}{f.name}" if name else f.name)
-            if isinstance(f.dataType, T.StructType):
-                yield from fields(f.dataType, p, n)
-            else:
-                yield F.col(p).alias(n)
+    def leaves(kind: T.DataType, value: Column, name: str):
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield from leaves(f.dataType, value[f.name], f"{name}{sep}{f.name}")
+        elif isinstance(kind, T.ArrayType) and items:
+            for i in range(items):
+                yield from leaves(kind.elementType, F.get(value, F.lit(i)), f"{name}{sep}{i}")
+        else:
+            yield value.alias(name)
 
-    return df.select(*fields(df.schema, "", ""))
+    return df.select(*(x for f in df.schema.fields for x in leaves(f.dataType, F.col(f"`{f.name}`"), f.name)))
 
 
 def unique_ids(df: DataFrame, order: list[str], start: int = 1_000_000_000) -> DataFrame:
-    """Adds ``unique_id``, numbered from ``start`` in order. Offsets of range partitions are joined in, so that no task numbers the whole table."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Adds ``unique_id``, numbered from ``start`` in order. Offsets of range partitions are joined in, so that no task numbers the whole table.
+
+    The partitions are checkpointed once: counting and numbering then see the same ones, whatever is planned anew or lost.
+    """
+    placed = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     base = placed.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b")
     numbered = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     return numbered.join(F.broadcast(base), "_p").withColumn("unique_id", F.col("_b") + F.col("_k") - 1 + start).drop("_p", "_b", "_k")

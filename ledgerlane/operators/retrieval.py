@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,34 +21,68 @@ def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_scores(queries: DataFrame, docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = ()) -> DataFrame:
+#: Rows up to which a table is sent to all tasks; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame marked for broadcast if a count shows that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def tfidf_scores(queries: DataFrame, docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = (), max_features: int | None = None, with_queries: bool = False, diagonal: bool = False) -> DataFrame:
     """Cosine of smoothed tf-idf vectors, idf = ln((1 + n) / (1 + df)) + 1 over the documents; terms that no document has don't count.
 
-    An inverted index join: only pairs that share a term appear. Corpus terms that no query holds are dropped before the
-    join, and the norms need one aggregation each.
+    ``stop_words`` are left out; of the rest ``max_features`` keeps the terms that occur most often, the first by name of
+    equally frequent ones. ``with_queries`` counts the queries among the documents when terms are counted. ``diagonal``
+    scores only pairs with equal ids.
+
+    An inverted index join: only pairs that share a term appear. Document frequencies are counted from each text's
+    distinct terms, without a shuffle by document; only postings of terms that a query has are joined with the queries.
     """
-    tokens = F.filter(ascii_tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words)) if stop_words else F.filter(ascii_tokens(F.col(text)), lambda t: F.length(t) > 1)
-    d = term_counts(docs, "doc_id", tokens)
-    n = docs.agg(F.count("*").alias("n"))
-    idf = d.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    dw = d.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    qw = term_counts(queries, "query_id", tokens).join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norm = lambda df, key, w, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(name))
-    dots = qw.join(dw, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    return dots.join(norm(dw, "doc_id", "w", "dn"), "doc_id").join(norm(qw, "query_id", "v", "qn"), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("dn") / F.col("qn")).alias("score"))
+    kept = lambda t: (F.length(t) > 1) & ~t.isin(*stop_words) if stop_words else F.length(t) > 1
+    tokens = F.filter(ascii_tokens(F.col(text)), kept)
+    corpus = docs.select("doc_id", tokens.alias("w"))
+    asked = queries.select("query_id", tokens.alias("w"))
+    counted = corpus.select("w").unionByName(asked.select("w")) if with_queries else corpus.select("w")
+    n = counted.agg(F.count("*").alias("n"))
+    df = counted.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if max_features:
+        often = counted.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features)
+        df = df.join(often.select("term"), "term", "left_semi")
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = lambda x, key: x.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    weigh = lambda x, key, name: x.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias(name))
+    norm = lambda x, key, w, name: x.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(name))
+    qw = weigh(tf(asked, "query_id"), "query_id", "v")
+    # one partitioning by document serves the counts of its terms and, behind the join with idf, its norm
+    postings = tf(corpus.repartition("doc_id"), "doc_id")
+    norms = norm(weigh(postings, "doc_id", "w"), "doc_id", "w", "dn")
+    terms = sent_if_small(asked.select(F.explode("w").alias("term")).distinct())
+    found = corpus.select("doc_id", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    hits = qw.join(weigh(found, "doc_id", "w"), "term")
+    if diagonal:
+        hits = hits.filter(F.col("query_id") == F.col("doc_id"))
+    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    return dots.join(norms, "doc_id").join(norm(qw, "query_id", "v", "qn"), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("dn") / F.col("qn")).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """R2: Okapi BM25 over space-separated, case-sensitive tokens. A negative idf becomes epsilon times the mean idf; repeated query terms count again."""
+    """R2: Okapi BM25 over space-separated, case-sensitive tokens. A negative idf becomes epsilon times the mean idf; repeated query terms count again.
+
+    A posting carries the length of its document, and only terms that a query has get postings.
+    """
     tokens = F.split(text, " ")
-    size = docs.select("doc_id", F.size(tokens).alias("len"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    d = term_counts(docs, "doc_id", tokens)
-    raw = d.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    corpus = docs.select("doc_id", tokens.alias("w"))
+    stats = corpus.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    df = corpus.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * epsilon).alias("floor"))
-    idf = raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     q = term_counts(queries, "query_id", tokens).withColumnRenamed("tf", "qtf")
-    hits = q.join(idf, "term").join(d, "term").join(size, "doc_id").crossJoin(F.broadcast(stats))
+    terms = sent_if_small(q.select("term").distinct())
+    idf = raw.join(terms, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    d = corpus.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = q.join(idf, "term").join(d, "term").crossJoin(F.broadcast(stats))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -128,6 +164,32 @@ def joint_score(text: Column, entity: Column, constraint: Column, weights: tuple
     return weights[0] * text + weights[1] * entity + weights[2] * constraint
 
 
+def softplus(x: float) -> float:
+    return math.log1p(math.exp(x))
+
+
+#: The weights that scoring has before it is trained, softplus of 0, 0 and -1.
+JOINT_WEIGHTS = (softplus(0), softplus(0), softplus(-1))
+
+
+def text_term(cosine: Column, gate: float | Column = 1.0, adjustment: float | Column = 0.0) -> Column:
+    """Gated cosine and a small correction; learned parts that aren't there are a gate of 1 and no correction."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return cosine * (0.5 + 0.5 * as_column(gate)) + 0.2 * F.tanh(as_column(adjustment))
+
+
+def retrieve(candidates: DataFrame, entity: DataFrame, constraint: DataFrame, k: int, weights: tuple[float, float, float] = JOINT_WEIGHTS, widen: int = 4) -> DataFrame:
+    """For every query of a batch the ``widen`` * k best by text, then of these the k best by the joint score.
+
+    ``entity`` has (query_id, doc_id, entity), ``constraint`` (doc_id, constraint); absent ones count as 0.5 and 1. Only
+    the candidates are joined with them, never all pairs.
+    """
+    first = ranked(candidates, widen * k).drop("rank").withColumnRenamed("score", "text_score")
+    joined = first.join(entity, ["query_id", "doc_id"], "left").join(constraint, "doc_id", "left")
+    score = joint_score(F.col("text_score"), F.coalesce("entity", F.lit(0.5)), F.coalesce("constraint", F.lit(1.0)), weights)
+    return ranked(joined.select("query_id", "doc_id", score.alias("score"), "text_score"), k)
+
+
 def rank_metrics(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """M1-M3: MRR, recall and NDCG at k over all queries that have gold documents; the best placed one counts."""
     hit = ranking.filter(F.col("rank") <= k).join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("r"))

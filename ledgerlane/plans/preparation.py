@@ -49,8 +49,9 @@ SELECT doc_id, count(*) AS windows, max(length(array_to_string(w[s + 1:s + 100],
 """)
 def word_windows(spark, d):
     """Sliding windows of 100 words, 50 apart."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.windows(F.col("text"), 100, 50)).alias("w"))
-    return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max(F.length("w")).cast("bigint").alias("longest"), F.min(F.md5(F.col("w").cast("binary"))).alias("digest"))
+    w = table(spark, d, "documents").select("doc_id", X.windows(F.col("text"), 100, 50).alias("w")).filter(F.size("w") > 0)
+    longest, digest = F.array_max(F.transform("w", lambda x: F.length(x))), F.array_min(F.transform("w", lambda x: F.md5(x.cast("binary"))))
+    return w.select("doc_id", F.size("w").cast("bigint").alias("windows"), longest.cast("bigint").alias("longest"), digest.alias("digest"))
 
 
 @query("""
@@ -80,11 +81,11 @@ def first_occurrence(spark, d):
 
 
 @query("""
-SELECT doc_id, greatest(ceil(length(text) / 4900.0), 0)::BIGINT AS n, md5(substr(text, 1, 4900)) AS first_piece FROM documents WHERE length(text) > 0
+SELECT doc_id, greatest(ceil(length(text) / 4900.0), 0)::BIGINT AS n, md5(array_to_string(list_transform(range(0, ceil(length(text) / 4900.0)::BIGINT), lambda i: md5(substr(text, i * 4900 + 1, 4900))), ' ')) AS pieces FROM documents WHERE length(text) > 0
 """)
 def text_chunks(spark, d):
     c = X.chunks(F.col("text"), 4900)
-    return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.size(c).cast("bigint").alias("n"), F.md5(F.get(c, F.lit(0)).cast("binary")).alias("first_piece"))
+    return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.size(c).cast("bigint").alias("n"), F.md5(F.array_join(F.transform(c, lambda x: F.md5(x.cast("binary"))), " ").cast("binary")).alias("pieces"))
 
 
 @query("""

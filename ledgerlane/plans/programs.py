@@ -114,13 +114,16 @@ def _statement(spark, d) -> DataFrame:
 WITH cell AS (
   SELECT c_nationkey, c_mktsegment, year(o_orderdate) AS y, sum(o_totalprice)::DECIMAL(18,2)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
 )
-SELECT c_nationkey, c_mktsegment, round(sum(v), 2) AS total, round(avg(v), 2) AS average, max(v) AS highest, min(v) AS lowest FROM cell GROUP BY ALL
+SELECT c_nationkey, c_mktsegment, round(sum(v), 2) AS total, round(avg(v), 5) AS average, max(v) AS highest, min(v) AS lowest FROM cell GROUP BY ALL
 """)
 def table_operations(spark, d):
-    """The four table operations on rows that are named without the parentheses and in another case."""
+    """The four table operations on rows that are named without the parentheses and in another case.
+
+    Means are over at most seven cells of whole cents, so none lies at half a unit of the fifth place.
+    """
     one = _statement(spark, d).select("c_nationkey", "table", F.explode(F.transform("table", lambda r: F.regexp_replace(r[0], r" \(total\)", ""))).alias("c_mktsegment"))
     run = lambda op: P.execute(F.concat(F.lit(f"{op}("), F.lower("c_mktsegment"), F.lit(", none)")), F.col("table"))["num"]
-    return one.select("c_nationkey", "c_mktsegment", F.round(run("table_sum"), 2).alias("total"), F.round(run("table_average"), 2).alias("average"), run("table_max").alias("highest"), run("table_min").alias("lowest"))
+    return one.select("c_nationkey", "c_mktsegment", F.round(run("table_sum"), 2).alias("total"), F.round(run("table_average"), 5).alias("average"), run("table_max").alias("highest"), run("table_min").alias("lowest"))
 
 
 @query("""

@@ -28,4 +28,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from ledgerlane.plans import corpus, evaluation, graphs, preparation, programs, retrieval, similarity  # noqa: F401
+    from ledgerlane.plans import corpus, evaluation, explorations, graphs, preparation, programs, records, retrieval, similarity  # noqa: F401

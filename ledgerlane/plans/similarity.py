@@ -8,7 +8,7 @@ from ledgerlane.functions.numbers import number_set
 from ledgerlane.operators import corpus as C
 from ledgerlane.operators import preparation as Q
 from ledgerlane.plans.registry import query, table
-from ledgerlane.plans.retrieval import _GOLD, _TFIDF, LOW, _sides, _tfidf
+from ledgerlane.plans.retrieval import holders, _GOLD, _TFIDF, LOW, _sides, _tfidf
 
 _ITEMS = f"""
 WITH d AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest(list_filter(regexp_extract_all({LOW}, '[a-z0-9]+'), lambda t: length(t) > 1)) AS term FROM benchmark) GROUP BY ALL),
@@ -39,9 +39,7 @@ def group_similarity(spark, d):
 
 
 def _gold(spark, d):
-    q, docs = _sides(spark, d)
-    heads = F.broadcast(q.select("query_id", F.substring("text", 1, 60).alias("head")))  # a small stated set
-    return docs.join(heads, F.contains(F.col("text"), F.col("head"))).select("query_id", "doc_id")
+    return holders(*_sides(spark, d))
 
 
 @query(_TFIDF + ", " + _GOLD + """

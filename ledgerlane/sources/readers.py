@@ -6,6 +6,8 @@ read as text.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +53,57 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_rankings(ranking: DataFrame, docs: DataFrame, path: str) -> None:
-    """For each query its documents by rank, and their texts as one context."""
+    """For each query its documents by rank, and their texts as one context; the number of queries and of ranks beside it, under ``<path>_manifest``."""
     rows = ranking.join(docs.select("doc_id", "text"), "doc_id")
     item = F.struct("rank", "doc_id", "score", "text")
     out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("docs"))
+    write_json(ranking.agg(F.count_distinct("query_id").alias("record_count"), F.max("rank").alias("save_top_k")), f"{path.rstrip('/')}_manifest")
     write_json(out.withColumn("context", F.array_join(F.transform("docs", lambda x: F.concat(F.lit("[DOC "), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n\n")), path)
 
 
+def write_parquet(df: DataFrame, path: str) -> None:
+    """W3."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_compact(df: DataFrame, path: str) -> None:
+    """Predictions without the list of all their candidates."""
+    write_json(df.drop("all_candidates"), path)
+
+
+def write_done(df: DataFrame, path: str) -> None:
+    """Rows are added by Spark's commit protocol: readers see a task's rows whole or not at all."""
+    df.write.mode("append").parquet(path)
+
+
+def read_done(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What has been written so far; nothing where there is nothing, and files that aren't whole are passed over."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """The counts of ``manifest`` as JSON lines."""
+    write_json(manifest(df), path)
+
+
+def read_cached(spark: SparkSession, path: str, schema: str, otherwise: Callable[[], DataFrame]) -> DataFrame:
+    """The cached file if it is there, else what ``otherwise`` reads."""
+    return read_json_array(spark, path, schema) if exists(spark, path) else otherwise()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame from files in the checkpoint folder, which the session names; a temporary one where it is unset and the master local."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='ledgerlane-')}")
+    return df.checkpoint()
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Rows by benchmark and split."""
     return df.groupBy("benchmark", "split").agg(F.count("*").alias("n"))

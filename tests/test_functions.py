@@ -87,6 +87,20 @@ def test_equivalence(spark):
     assert values(spark, programs_match(F.col("p"), F.col("g")), [x[:2] for x in pairs], "p string, g string") == [x[2] for x in pairs]
 
 
+@pytest.mark.parametrize("n", [9, 20])
+def test_products_of_many_sums(n):
+    def product(order, change=None):
+        out = [t for i in order for t in ("add(", str(2 * i + 1), str(2 * i + 2) if i != change else "1", ")")]
+        for j in range(n - 1):
+            out += ["multiply(", "#0" if j == 0 else f"#{n + j - 1}", f"#{j + 1}", ")"]
+        return [*out, "EOF"]
+
+    gold = product(range(n))
+    assert equal_programs(gold, product(range(n)[::-1])) and not equal_programs(gold, product(range(n), change=n - 1))
+    doubled = [t for k in range(40) for t in ("add(", "1" if k == 0 else f"#{k - 1}", "1" if k == 0 else f"#{k - 1}", ")")] + ["EOF"]
+    assert equal_programs(doubled, doubled) and not equal_programs(doubled, doubled[4:-1] + ["EOF"])
+
+
 def test_equivalence_is_reflexive_and_commutes():
     from hypothesis import given, settings
     from hypothesis import strategies as st

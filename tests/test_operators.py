@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import tables as T
@@ -168,3 +169,52 @@ def test_remaining_preparation(spark):
     assert ([x["ind"] for x in r["table_retrieved"]], [x["ind"] for x in r["text_retrieved"]], r["recall"]) == (["table_1"], ["text_2"], 0.5)
     c = spark.createDataFrame([(["a . . . . . . b"], ["w"], ["r", "s"])], "gold_facts array<string>, window array<string>, retrieved array<string>")
     assert [Q.context(c, m).first()["context"] for m in ("gold", "slide", "single", "none")] == ["a  b", "w", "r s", ""]
+
+
+def test_join_unique(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    right = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, v string")
+    assert sorted(map(tuple, E.join_unique(left, right).collect())) == [("a", 1, "x"), ("b", 2, "y")]
+    for bad in (right.filter("id <> 'b'"), right.unionByName(right.filter("id = 'b'"))):
+        with pytest.raises(Exception, match="key: b"):
+            E.join_unique(left, bad).collect()
+
+
+def test_metrics_by_name(spark):
+    with pytest.raises(ValueError, match="unknown metrics: ContextLength"):
+        E.metrics(spark.createDataFrame([(True,)], "ea boolean"), ["answer_accuracy", "ContextLength"])
+
+
+def test_flatten_arrays(spark):
+    df = spark.range(1).selectExpr("named_struct('b', array(named_struct('c', 1), named_struct('c', 2)), 'd', 3) AS a")
+    assert Q.flatten(df, items=2).first().asDict() == {"a_b_0_c": 1, "a_b_1_c": 2, "a_d": 3} and Q.flatten(df).columns == ["a_b", "a_d"]
+
+
+def test_done_rows_and_manifest(spark, tmp_path):
+    from ledgerlane.sources import readers as S
+
+    at, schema = str(tmp_path / "done"), "id long"
+    assert S.read_done(spark, at, schema).count() == 0
+    S.write_done(spark.range(3), at)
+    S.write_done(spark.range(3, 5), at)
+    (tmp_path / "done" / "part-broken.parquet").write_bytes(b"PAR1 not whole")
+    assert sorted(r[0] for r in S.read_done(spark, at, schema).collect()) == [0, 1, 2, 3, 4]
+    ranking = spark.createDataFrame([(1, 7, 0.5, 1), (1, 8, 0.4, 2), (2, 7, 0.1, 1)], "query_id long, doc_id long, score double, rank int")
+    S.write_rankings(ranking, spark.createDataFrame([(7, "x"), (8, "y")], "doc_id long, text string"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r_manifest")).first().asDict() == {"record_count": 2, "save_top_k": 2}
+    assert spark.read.json(str(tmp_path / "r")).filter("query_id = 1").first()["context"] == "[DOC 1] x\n\n[DOC 2] y"
+    cached = S.read_cached(spark, str(tmp_path / "none.json"), schema, lambda: spark.range(2))
+    assert cached.count() == 2
+    S.write_manifest(spark.createDataFrame([("a", "train"), ("a", "train"), ("b", "test")], "benchmark string, split string"), str(tmp_path / "m"))
+    assert sorted((r["benchmark"], r["n"]) for r in spark.read.json(str(tmp_path / "m")).collect()) == [("a", 2), ("b", 1)]
+    S.write_compact(spark.createDataFrame([(1, "c")], "id int, all_candidates string"), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).columns == ["id"]
+
+
+def test_numbering_ignores_the_file_split(spark):
+    df = spark.range(200).selectExpr("id", "id % 17 AS o")
+    got = [{(r["id"], r["unique_id"]) for r in Q.unique_ids(x, ["o", "id"]).collect()} for x in (df, df.repartition(7), df.coalesce(1))]
+    assert got[0] == got[1] == got[2] and len({u for _, u in got[0]}) == 200
+    rows = spark.createDataFrame([(None, [("p",)], [(None, "q", "a", "", "x"), ("u", "r", "b", "", "y")])], "table struct<table:array<array<string>>>, paragraphs array<struct<text:string>>, questions array<struct<uid:string,question:string,answer:string,scale:string,answer_type:string>>")
+    ids = [sorted(r["id"] for r in Q.unnest_questions(x, "tatqa").collect()) for x in (rows, rows.repartition(3))]
+    assert ids[0] == ids[1] and ids[0][1] == "tatqa::u"
