@@ -29,4 +29,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select("v").distinct().select(F.col("v").alias("x"), F.lit(1).alias("n")))
         if not ends.groupBy("x").agg(F.sum("n").alias("n")).filter("n > 1").limit(1).count():
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(e)
+    return out

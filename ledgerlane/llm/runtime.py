@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch. Texts can be long, so batches are kept far below Spark's 10,000 rows and 64 MB.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Bytes that the writer of such a table holds before it writes them out; Parquet's own 128 MB are held by every task.
+BLOCK_BYTES = 16 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -48,7 +51,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     of the folder removes them.
     """
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out
@@ -66,6 +69,11 @@ def remove(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The frame marked for broadcast if a count shows that it has at most ``rows`` rows; more are joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collects rows whose number has a proven bound; more than that is an error rather than a full driver."""
     rows = df.limit(limit + 1).collect()

@@ -338,6 +338,74 @@ def test_op4_standard_notices(spark):
     assert [(r["licenses"], r["unmatched"]) for r in got] == [c[1:] for c in cases]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC_TEXT = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE."""
+
+
+def test_op4_standard_headers(spark):
+    bsd_two = BSD_NOTICE.replace(BSD_NOTICE[BSD_NOTICE.index(" * 3.") : BSD_NOTICE.index(" * THIS")], "")
+    cases = [(MIT_TEXT, "MIT"), (APACHE_HEADER, "Apache-2.0"), (MPL_HEADER, "MPL-2.0"), (ISC_TEXT, "ISC"), (bsd_two, "BSD-2-Clause"), ("BSD 3-Clause License\n\nCopyright (c) A", "BSD-3-Clause"), ("The MIT License (MIT)", "MIT"), ("we like the MIT license", "")]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
+    assert [(r["licenses"], r["unmatched"]) for r in got] == [(c, "") for _, c in cases]
+
+
+CLASHES = ["text_", "_scored", "_base", "_bucket", "bucket", "base", "_searched", "_counted", "_matched", "matched", "secret_extra", "size", "d", "n", "rep"]
+
+
+def test_clashing_names(spark):
+    """No operator trips over columns that its helpers might be named like, and those that it passes through are whole."""
+    df = spark.createDataFrame([(1, "some words here\nand more of them " * 4), (2, None), (3, "All rights reserved. password=abcdef99")], "doc_id long, text string")
+    for c in CLASHES:
+        df = df.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some words here and more")], "item_id long, text string")
+    table = [0.0] * len(secrets.ALPHABET) ** 2
+    kept = {
+        1: quality_classifier.score(df, quality_classifier.train(df, labels)), 3: secrets.scan(df, table=table), 4: licenses.scan(df), 5: decontamination.find_items(df, bench), 8: toxicity.score(df, toxicity.train(df, labels)),
+        9: sharding.external_shuffle(df.withColumn("bytes", F.lit(1)), 2, "bytes", ["doc_id", "text"]), 10: token_counts.count_tokens(df, tokenizers.path("piece_bpe_32k.model")),
+    }
+    for op, out in kept.items():
+        assert sorted(map(tuple, out.select("doc_id", *CLASHES).collect())) == sorted((i, *(f"{c}:{i}" for c in CLASHES)) for i in (1, 2, 3)), op
+    assert quality_rules.apply_rules(df, df.select("doc_id")).count() == 3 and jaccard_join.ngram_jaccard_join(df).count() == 3 and packing.pack(df, tokenizers.path("byte_bpe_50k.json")).count() == 3
+
+
 def test_op5_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -424,26 +492,75 @@ def jaccard_by_hand(rows, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_op7_brute_force(spark, n, num):
-    rng = np.random.default_rng(5)
-    vocabulary = [f"w{i}" for i in range(80)]
-    rows, common = [], " ".join(rng.choice(vocabulary, 12))
-    for g in range(25):
+def family_rows(rng, families, copies):
+    """Families of near copies of many sizes, of which a third share a passage, and texts without words."""
+    vocabulary, rows = [f"w{i}" for i in range(80)], []
+    common = " ".join(rng.choice(vocabulary, 12))
+    for g in range(families):
         base = list(rng.choice(vocabulary, int(rng.choice([1, 2, 4, 12, 60, 70, 300]))))
-        for _ in range(int(rng.integers(1, 12))):
+        for _ in range(int(rng.integers(1, copies))):
             w = list(base)
             for _ in range(int(rng.integers(0, 1 + len(w) // 25))):
                 w[int(rng.integers(len(w)))] = "other"
             rows.append((len(rows), " ".join(w) + (f"\n{common}" if g % 3 == 0 else "")))
-    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "  ")]
+    return rows + [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "  ")]
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_op7_brute_force(spark, n, num):
+    rows = family_rows(np.random.default_rng(5), 25, 12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = jaccard_by_hand(rows, n, num, 100)
-    for block, grams in ((1500, 2_000_000), (4, 50)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.ngram_jaccard_join(df, n, num, 100, block=block, bucket_grams=grams).collect()}
+    for part, block, grams in ((500_000, 500_000, 2_000_000), (300, 200, 50)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.ngram_jaccard_join(df, n, num, 100, part_grams=part, block_grams=block, bucket_grams=grams).collect()}
         assert got == want
 
 
+def test_op7_thousand_documents(spark):
+    rows = family_rows(np.random.default_rng(9), 170, 13)
+    assert len(rows) > 950
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == jaccard_by_hand(rows, 3, 90, 100)
+
+
+def test_op7_one_id_for_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a), (5, "else " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.ngram_jaccard_join(df, 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def chained(rng, n, size, step):
+    """Sets of which only neighbours in a chain are alike, so that no centre links with all."""
+    flat = np.sort(rng.choice(1 << 60, size + n * step, replace=False)).astype(np.uint64)
+    return [np.sort(flat[i * step : i * step + size]) for i in range(n)]
+
+
+def test_op7_group_search():
+    rng, rule = np.random.default_rng(2), jaccard_join.Rule(3, 90, 100)
+    sets = chained(rng, 90, 200, 4) + chained(rng, 40, 30, 1)
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    labels = rng.permutation(len(sets)).astype(np.int64)
+    linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if linked(sets[i], sets[j])}
+    for i, j in links:
+        parent[root(i)] = root(j)
+    want = [min(labels[j] for j in range(len(sets)) if root(j) == root(i)) for i in range(len(sets))]
+    assert jaccard_join.join_group(sets, labels, rule).tolist() == want
+    group, centre = np.repeat(np.arange(13), 10), np.arange(130) % 10 == 3
+    q, s = jaccard_join.star_links(sets, group, centre, rule)
+    assert set(zip(q.tolist(), s.tolist(), strict=True)) == {(i, j) for i, j in links if group[i] == group[j] and centre[i] and not centre[j]}
+
+
 def test_op7_odd(spark, docs, empty):
     got = jaccard_join.ngram_jaccard_join(docs, 3, 90).toPandas()
     assert len(got) == len(ODD) + 2 and got[got["doc_id"].isna()]["component_id"].isna().all()
