@@ -8,7 +8,8 @@ which every known sentence has one.
 
 A notice can be wrapped and commented, so patterns see normalised sentences only. Before the cut a version clause is
 joined to its grant ("Foundation; either version 2"), and an SPDX expression becomes a sentence of its own; each of its
-operands gets an identifier. ``OP4_SQL`` has neither step, nor the sentences and rules added for them.
+operands gets an identifier; "v. 2.0" doesn't end a sentence. ``OP4_SQL`` has none of these steps, nor the sentences, rules
+and titles added to the first tables.
 """
 
 from __future__ import annotations
@@ -134,9 +135,19 @@ NOTICES = [
 ]
 
 GRANT_TWO = ("GplGrantTwo", r"terms of the gnu general public license as published by the free software foundation .*version 2( |$)")
+# Titles that are a sentence of their own (patterns of its beginning or the whole), and the licence each stands for.
+TITLES = [
+    ("MitTitle", r"^ ?(the )?mit license( mit)? ?$", "MIT"),
+    ("IscTitle", r"^ ?(the )?isc license ?$", "ISC"),
+    ("ApacheTitle", r"^ ?(the )?apache license version 2\.0", "Apache-2.0"),
+    ("BsdThreeTitle", r"^ ?(the )?(bsd 3 clause|new bsd|modified bsd)( .new. or .revised.)? license ?$", "BSD-3-Clause"),
+    ("BsdTwoTitle", r"^ ?(the )?(bsd 2 clause|simplified bsd)( .simplified.)? license ?$", "BSD-2-Clause"),
+]
+
 TAG = "spdx-license-identifier"
 SPDX_ID = r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
 EXPRESSION = rf"{TAG}[ \t]*:[ \t]*([( \t]*{SPDX_ID}(?:[ \t)]+(?:or|and|with)[ \t(]+{SPDX_ID})*)"
+ABBREVIATED_VERSION = r"(?<![a-z0-9])v\.[ \t\n\r]+([0-9])"
 VERSION_CLAUSE = r";([^a-z0-9.!?:;]+(?:either[^a-z0-9]+)?version[^a-z0-9]+[0-9])"
 
 BREAK = r"[.!?;:]+[ \t\n\r]+|\n[ \t\r]*\n"
@@ -144,18 +155,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scan_sentences() -> list[tuple[str, str]]:
-    """SENTENCES and the grants added to them."""
+    """SENTENCES with the grants and titles added to them."""
     at = [name for name, _ in SENTENCES].index("GplGrantThree") + 1
-    return [*SENTENCES[:at], GRANT_TWO, *SENTENCES[at:]]
+    return [*((name, p) for name, p, _ in TITLES), *SENTENCES[:at], GRANT_TWO, *SENTENCES[at:]]
 
 
 def scan_rules() -> list[tuple[str, str]]:
-    """RULES with those of NOTICES and SPDX, each before the first rule of the same licence."""
+    """RULES with those of NOTICES, SPDX and TITLES, each before the first rule of the same licence."""
     out, seen = [], set()
     for rule, licence in RULES:
         if licence not in seen:
             seen.add(licence)
-            out += [(r, n) for r, n in NOTICES if n == licence] + [(name, n) for name, _, n in SPDX if n == licence]
+            out += [(r, n) for r, n in NOTICES if n == licence] + [(name, n) for name, _, n in [*SPDX, *TITLES] if n == licence]
         out.append((rule, licence))
     return out
 
@@ -192,7 +203,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     # a marker's first word stands unbroken in any text whose normalised form has the marker
     may_hold = lambda s: F.rlike(s, F.lit("|".join(sorted({m.split(" ")[0] for m in MARKERS}))))
-    joined = F.regexp_replace(low, VERSION_CLAUSE, ",$1")
+    joined = F.regexp_replace(F.regexp_replace(low, ABBREVIATED_VERSION, "v $1"), VERSION_CLAUSE, ",$1")
     joined = F.when(F.contains(low, F.lit(TAG)), F.regexp_replace(joined, EXPRESSION, f". {TAG} $1. ")).otherwise(joined)
     sentences = F.flatten(F.transform(F.filter(F.split(joined, BREAK), may_hold), identifiers))
     ids = F.when(marked, F.array_join(F.filter(sentences, lambda s: s.isNotNull()), " ")).otherwise("")
