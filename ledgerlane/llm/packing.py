@@ -9,6 +9,7 @@ about ``MERGE_PIECES`` pieces of a window at most, each group in one task.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -60,6 +61,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, with the ids of known units kept in the worker."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.reset()
 
@@ -196,7 +198,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
                 open_docs = {d for p in windows.content.values() for d, _, _ in p}
                 for d in [d for d in held if d not in open_docs]:
                     del held[d]
-                if len(out[0]) > 2000:
+                if len(out[0]) > 400:
                     yield flush()
         for w, pieces in windows.content.items():
             emit(w, pieces, False)
