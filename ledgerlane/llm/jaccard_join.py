@@ -460,8 +460,8 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         member = durable(rest.join(open_, ["token", "cell"]).select("cell", "rep", "n", "label", "c").distinct(), "members")
         group = connected_components(member.select(place("c").alias("a"), place("rep").alias("b")))
         inside = member.select(place("rep").alias("node"), "rep", "label", "n").distinct().join(group, "node")
-        size = inside.groupBy("component").agg(F.ceil(F.sum("n") / block_grams).alias("blocks"))
-        own = inside.join(size, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "rep"), "blocks"))
+        large = inside.groupBy("component").agg(F.ceil(F.sum("n") / block_grams).alias("blocks")).filter("blocks > 1")
+        own = inside.join(sent_if_small(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "rep"), "blocks"))
         both = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
         tasks = own.select("component", "rep", "label", F.explode(both).alias("pair")).distinct().join(sets, "rep").select("component", "pair.i", "pair.j", "label", "grams")
         found = durable(arrow_map(tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), _join_groups(rule), "a bigint, b bigint"), "links")
