@@ -25,7 +25,7 @@ from ledgerlane.llm.runtime import arrow_map, durable
 from ledgerlane.llm.textkernel import SPACE, Chunk, chunks
 from ledgerlane.llm.unitcache import SlotTable, unit_hashes, unit_starts
 
-OPEN_WINDOWS, MIN_PIECE, MERGE_PIECES = 32, 16, 8192
+OPEN_WINDOWS, MIN_PIECE, MERGE_PIECES = 32, 16, 512
 CACHE_BITS = 21
 #: Units that the library encodes at a time.
 SLICE = 4096
