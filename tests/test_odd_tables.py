@@ -1,7 +1,9 @@
 """Queries on tables with odd rows and large groups, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from ledgerlane.operators import negatives as N
 from ledgerlane.plans import registry
 from tests.test_oracles import rows
 
@@ -57,3 +59,19 @@ def test_entity_scores_of_odd_keys(spark, tmp_path):
     customer = CUSTOMER.format(key="k", nation="n", rows="(VALUES (0, 0), (1, 0), (2, 0), (-1, 0), (-2, 0), (-3, 0), (NULL, 0), (4, 1), (4, 1), (5, 1), (6, NULL), (7, 8)) t(k, n)")
     got, expected, _ = both(spark, tmp_path, "entity_scores", supplier=supplier, customer=customer)
     assert got == expected and len(got) == 4
+
+
+def test_styled_numbers_of_odd_balances(spark, tmp_path):
+    """No balance, a negative zero, none that is finite, ties of binary values and of their shortest texts, more digits than a double has."""
+    values = "NULL -0.0 0 nan inf -inf -0.001 0.125 -0.125 0.00125 0.00155 1.005 2.675 1234.565 -999.995 1235.06 12345678.91 1000000000000000.25 -1e22 123456789012345678"
+    balances = ", ".join(v if v == "NULL" else f"'{v}'" for v in values.split())
+    customer = f"SELECT v.i * 6 + k AS c_custkey, 'C' AS c_name, 0 AS c_nationkey, v.b AS c_acctbal, 'X' AS c_mktsegment FROM (SELECT unnest(range(20)) AS i, unnest([{balances}]::DOUBLE[]) AS b) v, range(6) s(k)"
+    got, expected, _ = both(spark, tmp_path, "styled_numbers", customer=customer)
+    assert got == expected and len(got) > 100
+    assert {text for key, text in got if key < 6} == {None} and [text for key, text in got if key in (7, 10)] == ["0.00", "$0.00"]
+
+
+def test_styled_number_in_large_units(spark):
+    cells = [("1.2B", 1.125e9, "1.12B"), ("3b", -2.5e12, "-2500.00B"), ("1M", 1.375e6, "1.38M"), ("1k", 1235.0, "1.24K"), (None, -5.0, "(5.00)"), ("7", 1234.5, "1,234.50"), ("5%", None, None)]
+    df = spark.createDataFrame(cells, "cell string, value double, text string")
+    assert [r[0] for r in df.select(N.styled_number(F.col("value"), F.col("cell"))).collect()] == [c[2] for c in cells]
